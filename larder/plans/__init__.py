@@ -1,0 +1,3 @@
+"""Registered queries; importing this package fills the registry."""
+
+from larder.plans import p_demand  # noqa: F401
