@@ -46,15 +46,18 @@ def fill_grid(grid: DataFrame, daily: DataFrame, zero: list[str]) -> DataFrame:
 def date_grid(daily: DataFrame, top_n: int | None = 50) -> DataFrame:
     """Kept series on every day of the global range; missing days hold 0.
 
-    The top-n cut comes first, so the grid is (kept series) x (days); the day
-    range is a scalar subquery and each series explodes its own days.
+    The top-n cut comes first, so the grid is (kept series) x (days). The day
+    range of the kept series is a scalar subquery; each series explodes its own
+    days, and the left join drops the series that were cut.
     """
-    kept = topn_per_store(daily, top_n).select(*SERIES) if top_n else daily.select(*SERIES).distinct()
-    demand = daily.join(kept, SERIES, "left_semi") if top_n else daily
-    lo = demand.agg(F.min("date").alias("d")).scalar()
-    hi = demand.agg(F.max("date").alias("d")).scalar()
-    grid = kept.withColumn("date", F.explode(F.sequence(lo, hi, F.expr("interval 1 day"))))
-    return fill_grid(grid, demand, ["quantity_sold", "revenue", "order_count"]).select(
+    stats = daily.groupBy(*SERIES).agg(
+        F.sum("quantity_sold").alias("_q"), F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    if top_n:
+        stats = top_per_group(stats, ["place_id"], [F.desc("_q"), F.asc("item_id")], top_n)
+    span = stats.agg(F.struct(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).alias("s")).scalar()
+    grid = stats.select(*SERIES, span.alias("_span")).select(
+        *SERIES, F.explode(F.sequence("_span.lo", "_span.hi", F.expr("interval 1 day"))).alias("date"))
+    return fill_grid(grid, daily, ["quantity_sold", "revenue", "order_count"]).select(
         "date", *SERIES, "quantity_sold", "revenue", "order_count")
 
 

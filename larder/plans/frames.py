@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from larder.operators import baselines, cleaning, demand, features
@@ -22,7 +23,9 @@ def sales(spark, sf, grain="region") -> DataFrame:
 
 
 def daily(spark, sf, grain="region") -> DataFrame:
-    return demand.daily_demand(orders(spark, sf, grain), lines(spark, sf, grain))
+    """The demand cube, kept in the session: far smaller than the order lines it sums, and read
+    several times by each grid. Lost blocks are recomputed from their lineage."""
+    return demand.daily_demand(orders(spark, sf, grain), lines(spark, sf, grain)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def grid(spark, sf, grain="region", top_n=50) -> DataFrame:

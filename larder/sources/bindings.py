@@ -7,15 +7,22 @@ dense series, ``nation`` x ``brand`` many sparse ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from larder.functions.exprs import exact_mean
 
 STATUS = {"F": "Closed", "O": "Open", "P": "Pending"}  # fixed values
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet table; its schema is inferred once per path, later reads skip the footer job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def status_name(c) -> F.Column:
