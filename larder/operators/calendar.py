@@ -98,7 +98,6 @@ def holiday_signals(days: DataFrame, holidays: DataFrame) -> DataFrame:
     h = holidays.groupBy("date").agg(F.max("holiday_name").alias("_name"))
     both = days.select("date", F.lit(None).cast("string").alias("_name"), F.lit(True).alias("_day")).unionByName(
         h.withColumn("_day", F.lit(False)))
-    after = Window.orderBy("date").rangeBetween(1, Window.unboundedFollowing)
     nxt = both.withColumn("_d", F.unix_date("date")).withColumn(
         "_n", F.first(F.when(~F.col("_day"), F.struct("date", "_name")), ignorenulls=True).over(
             Window.orderBy("_d").rangeBetween(1, Window.unboundedFollowing))).where("_day")

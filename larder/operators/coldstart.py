@@ -81,8 +81,8 @@ def cold_start(new_products: DataFrame, stats: DataFrame, categories: DataFrame,
     est = new_products.join(best, "id", "left").select(
         "id", F.coalesce(F.col("t.weighted"), everything).alias("_w"),
         F.coalesce("t.similar", F.lit(1)).alias("similar_items"),
-        F.coalesce(F.element_at(F.array(F.lit("keyword_match"), F.lit("category_match")), F.col("t.tier")),
-                   F.lit("global_median")).alias("method"))
+        F.when(F.col("t.tier") == 1, "keyword_match").when(F.col("t.tier") == 2, "category_match")
+        .otherwise("global_median").alias("method"))
     future = est.withColumn("_e", F.col("_w") * factor).withColumn("date", F.explode(
         F.sequence(first_day, F.date_add(first_day, days - 1), F.expr("interval 1 day"))))
     dow = F.weekday("date")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import calendars
 from larder.functions.exprs import rnd
 from larder.operators import calendar, features, joins, promo
-from larder.plans import frames
+from larder.plans import frames, p_joins  # noqa: F401 - its shared SQL
 from larder.plans.p_scan import _OUDIN
 from larder.plans.registry import query
 from larder.plans.sqlbase import CTES, Q
