@@ -15,17 +15,21 @@ TARGET_ROWS = 100_000
 
 def with_segments(df: DataFrame, keys: list[str], ts: str, slot: str = "MINUTE",
                   target: int = TARGET_ROWS) -> DataFrame:
-    """Add ``_seg``: consecutive time slots of a key, packed to ``target`` rows."""
+    """Add ``_seg``: one segment for an ordinary key; a key with more than ``target``
+    rows is cut into consecutive runs of time slots of about ``target`` rows each."""
     slotted = df.withColumn("_slot", F.date_trunc(slot, ts))
     sizes = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
-    # slots are packed inside a day and the day is part of the segment id, so the
+    hot = sizes.groupBy(*keys).agg(F.sum("_rows").alias("_all")).where(F.col("_all") > target).select(*keys)
+    # slots are packed inside a day and the day is part of the segment, so the
     # window below holds at most one day of slots
-    w = (Window.partitionBy(*keys, F.to_date("_slot")).orderBy("_slot")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    packed = sizes.withColumn(
+    day = F.to_date("_slot")
+    w = Window.partitionBy(*keys, day).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    packed = sizes.join(hot, keys, "left_semi").withColumn(
         "_part", F.floor(F.coalesce(F.sum("_rows").over(w), F.lit(0)) / target)).select(
-        *keys, "_slot", F.struct(F.to_date("_slot").alias("day"), F.col("_part").alias("part")).alias("_seg"))
-    return slotted.join(packed, [*keys, "_slot"]).drop("_slot")
+        *keys, "_slot", F.struct(day.alias("day"), F.col("_part").alias("part")).alias("_cut"))
+    whole = F.struct(F.lit("1970-01-01").cast("date").alias("day"), F.lit(0).cast("long").alias("part"))
+    return slotted.join(packed, [*keys, "_slot"], "left").withColumn(
+        "_seg", F.coalesce("_cut", whole)).drop("_slot", "_cut")
 
 
 def running_sum(df: DataFrame, keys: list[str], ts: str, tie: str, value: str | Column, out: str,

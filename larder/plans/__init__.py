@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from larder.plans import p_calendar, p_demand, p_inventory, p_joins, p_reports, p_scan  # noqa: F401
+from larder.plans import p_calendar, p_demand, p_inventory, p_joins, p_ledger, p_reports, p_scan  # noqa: F401
