@@ -33,31 +33,21 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: list[
     hist = hist.withColumn("_before", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
 
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"),
-                 (F.lit(q) * (F.col("_n") - 1)).alias("pos"),
-                 F.lit(q).alias("q"))
-        for name, q in qs.items()])
+        F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("pos")) for name, q in qs.items()])
     hits = (
         hist.withColumn("_w", F.explode(wanted))
-        .withColumn("_rank", F.explode(F.array(F.floor("_w.pos"), F.ceil("_w.pos"))))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_w.pos"), F.ceil("_w.pos")))))
         .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bc")))
         .select(*gk, "_b", "_before", F.col("_w.name").alias("_name"), F.col("_w.pos").alias("_pos"), "_rank")
-        .distinct()
-    )
-    bins_hit = hits.select(*gk, "_b", "_before").distinct()
-    in_bin = Window.partitionBy(*gk, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        binned.join(bins_hit, [*gk, "_b"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(in_bin), F.lit(0)))
-        .select(*gk, "_b", "_v", "_c", "_start")
     )
+    in_bin = Window.partitionBy(*gk, "_b", "_name", "_rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     found = (
-        hits.join(ranked, [*gk, "_b"])
+        binned.select(*gk, "_b", "_v", "_c").join(hits, [*gk, "_b"])
+        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(in_bin), F.lit(0)))
         .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_c")))
-        .groupBy(*gk, "_name", "_pos")
-        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"))
-        .withColumn("_val", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos")))
     )
+    at = lambda n, x: F.when(F.col("_name") == n, F.col(x))
+    low, high = {n: F.min(at(n, "_v")) for n in qs}, {n: F.max(at(n, "_v")) for n in qs}
+    part = {n: F.max(at(n, "_pos")) for n in qs}
     return found.groupBy(*gk).agg(*[
-        F.max(F.when(F.col("_name") == n, F.col("_val"))).alias(n) for n in qs
-    ]).select(*keys, *qs)
+        (low[n] + (high[n] - low[n]) * (part[n] - F.floor(part[n]))).alias(n) for n in qs]).select(*keys, *qs)

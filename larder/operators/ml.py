@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from larder.operators.demand import SERIES
 from larder.operators.scalars import label_encode
 from larder.session import materialise
 
+PARALLEL_FITS = 4
+
 # the columns a boosted-tree model reads, in the order of the vector
 FEATURE_COLS = [
     "day_of_week", "day_of_month", "month", "quarter", "week_of_year", "day_of_year", "year", "is_weekend", "is_friday",
@@ -141,14 +144,21 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _side_by_side(jobs: list) -> list:
+    """Run independent fits from a few driver threads, as Spark's own cross-validator does."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(lambda job: job(), jobs)
+
+
 def cv_metrics(df: DataFrame, folds: int = 5, **params) -> DataFrame:
     """Expanding-window validation: one row per fold and their mean (fold 0)."""
     f = date_folds(df, folds)
-    rows = []
-    for k in range(1, folds + 1):
+
+    def one(k):
         model = fit_gbt(f.where(F.col("fold") < k), **params)
-        rows.append(_scores(predict(model, f.where(F.col("fold") == k)), "gbt").withColumn("fold", F.lit(k)))
-    per = _union(rows)
+        return _scores(predict(model, f.where(F.col("fold") == k)), "gbt").withColumn("fold", F.lit(k))
+
+    per = _union(_side_by_side([lambda k=k: one(k) for k in range(1, folds + 1)]))
     mean = per.agg(F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in ("mae", "rmse", "wmape", "r2")]).withColumn("fold", F.lit(0))
     return per.unionByName(mean)
 
@@ -162,25 +172,27 @@ def walk_forward(df: DataFrame, splits: int = 3, test_months: int = 1, min_train
     """Metrics of the last months, one month after the other, each with a model of all earlier rows."""
     lo = df.agg(F.min("date").alias("d")).scalar()
     total = df.agg(((F.year(F.max("date")) - F.year(F.min("date"))) * 12 + F.month(F.max("date")) - F.month(F.min("date"))).alias("m")).scalar()
-    rows = []
-    for i in range(splits):
+
+    def one(i):
         start = F.add_months(lo, total - splits * test_months + i * test_months)
         end = F.add_months(lo, total - splits * test_months + (i + 1) * test_months)
         train, test = df.where(F.col("date") < start), df.where((F.col("date") >= start) & (F.col("date") < end))
         if train.limit(min_train).count() < min_train or test.limit(min_test).count() < min_test:
-            continue
-        rows.append(_scores(predict(fit_gbt(train, **params), test), "gbt").withColumn("split", F.lit(i)))
-    return _union(rows)
+            return None
+        return _scores(predict(fit_gbt(train, **params), test), "gbt").withColumn("split", F.lit(i))
+
+    return _union([r for r in _side_by_side([lambda i=i: one(i) for i in range(splits)]) if r is not None])
 
 
 def tune(df: DataFrame, grid: list[dict]) -> DataFrame:
     """Validation MAE of each parameter set on the explicit time split; best first."""
     train, val, _ = parts(df)
-    rows = []
-    for i, p in enumerate(grid):
+
+    def one(i, p):
         s = _scores(predict(fit_gbt(train, **p), val), "gbt").select("mae")
-        rows.append(s.withColumns({"no": F.lit(i), **{k: F.lit(v) for k, v in p.items()}}))
-    return _union(rows).orderBy("mae", "no")
+        return s.withColumns({"no": F.lit(i), **{k: F.lit(v) for k, v in p.items()}})
+
+    return _union(_side_by_side([lambda i=i, p=p: one(i, p) for i, p in enumerate(grid)])).orderBy("mae", "no")
 
 
 def model_comparison(df: DataFrame, **params) -> DataFrame:
@@ -267,12 +279,13 @@ def item_holdout(df: DataFrame, rows: int = 30, min_train: int = 60, **params) -
 
 def multi_horizon(df: DataFrame, horizons: tuple[int, ...] = (1, 7, 30), min_train: int = 60, **params) -> DataFrame:
     """The hold-out of the last h rows for several h, per series and horizon."""
-    out = []
-    for h in horizons:
+
+    def one(h):
         marked = holdout(df, h, min_train)
         model = fit_gbt(marked.where(~F.col("is_test")).drop("_rn"), **params)
-        out.append(_scores(predict(model, marked.where("is_test")), "gbt", SERIES).withColumn("horizon", F.lit(h)))
-    return _union(out)
+        return _scores(predict(model, marked.where("is_test")), "gbt", SERIES).withColumn("horizon", F.lit(h))
+
+    return _union(_side_by_side([lambda h=h: one(h) for h in horizons]))
 
 
 # ---- recursive forecast ------------------------------------------------------------

@@ -5,29 +5,56 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from larder.operators import baselines, cleaning, demand, features
+from larder.operators import baselines, demand, features
+from larder.session import scratch_path
 from larder.sources import bindings
 
+_MADE: dict[tuple, DataFrame] = {}
 
+
+def per_session(fn):
+    """Build a lazy frame once per application and argument list; queries share its plan."""
+
+    def wrap(spark, *args, **kw):
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, args, tuple(sorted(kw.items())))
+        if key not in _MADE:
+            _MADE[key] = fn(spark, *args, **kw)
+        return _MADE[key]
+
+    return wrap
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: a short plan that outlives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@per_session
 def orders(spark, sf, grain="region") -> DataFrame:
     """Cleaned closed orders. Order keys are unique in the source, so no dedup shuffle is spent here."""
     return bindings.fct_orders(spark, sf, grain).where(F.col("status") == "Closed")
 
 
+@per_session
 def lines(spark, sf, grain="region") -> DataFrame:
     return bindings.fct_order_items(spark, sf, grain)
 
 
+@per_session
 def sales(spark, sf, grain="region") -> DataFrame:
     return demand.sales_lines(orders(spark, sf, grain), lines(spark, sf, grain))
 
 
+@per_session
 def daily(spark, sf, grain="region") -> DataFrame:
     """The demand cube, kept in the session: far smaller than the order lines it sums, and read
     several times by each grid. Lost blocks are recomputed from their lineage."""
     return demand.daily_demand(orders(spark, sf, grain), lines(spark, sf, grain)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@per_session
 def grid(spark, sf, grain="region", top_n=50) -> DataFrame:
     return demand.date_grid(daily(spark, sf, grain), top_n)
 
@@ -42,18 +69,21 @@ def enriched(df: DataFrame, spark, sf, grain="region") -> DataFrame:
     return df.join(items, "item_id", "left").join(places, "place_id", "left")
 
 
+@per_session
 def features_frame(spark, sf, grain="region") -> DataFrame:
     return features.rolling_features(features.lag_features(grid(spark, sf, grain)))
 
 
+@per_session
 def predictions(spark, sf, grain="region") -> DataFrame:
-    """Grid with the baseline forecasts as columns, item and place attributes."""
+    """Grid with the baseline forecasts as columns, item and place attributes; kept in the
+    session, because every metric, waste and promotion query reads it."""
     f = features_frame(spark, sf, grain)
     f = baselines.naive_last_week(f)
     f = baselines.moving_average(f, 7, "predicted")
     f = baselines.moving_average(f, 28, "ma28")
     f = baselines.buffered(f, "predicted")
-    return enriched(f, spark, sf, grain).withColumn("day_of_week", F.weekday("date"))
+    return enriched(f, spark, sf, grain).withColumn("day_of_week", F.weekday("date")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def campaign_days(spark, sf) -> DataFrame:

@@ -3,7 +3,6 @@ the library defaults are those of a full training run."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import rnd
@@ -19,21 +18,11 @@ SMALL = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3}
 KEYS = ["date", *SERIES]
 
 
-def matrix(spark, sf):
-    """The encoded feature matrix, kept in the session for all models."""
-    return ml.encode_categoricals(p_calendar.build_features(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-_MATRIX: dict = {}
-
-
+@frames.per_session
 def train_matrix(spark, sf):
-    """One matrix per application and data folder: the label codes are written tables,
-    so a second build would not match the first in the cache."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MATRIX:
-        _MATRIX[key] = matrix(spark, sf)
-    return _MATRIX[key]
+    """The encoded feature matrix as a written table: every fit scans it several times,
+    and reads only the columns it needs."""
+    return frames.written(ml.encode_categoricals(p_calendar.build_features(spark, sf)), "features")
 
 
 def scored_test(spark, sf):
