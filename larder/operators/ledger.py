@@ -5,6 +5,8 @@ Segments (see functions.scan) keep a hot key spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -27,34 +29,58 @@ def floored_ledger(events: DataFrame, keys: list[str], ts: str, tie: str, delta:
         "quantity_after", F.greatest(before + F.col(delta).cast("decimal(28,6)"), F.lit(0)).cast("double")).drop("_s", "_prev", "_m")
 
 
-def _fold(delta: str, ts: str, tie: str):
-    """One segment in order: accept a step if the balance stays at or above 0."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie], kind="stable")
-        balance = float(pdf["_entry"].iloc[0])
-        before, after, ok = [], [], []
-        for x in pdf[delta].to_numpy(dtype=float):
-            before.append(balance)
-            good = balance + x >= 0
-            balance = balance + x if good else balance
-            ok.append(good)
-            after.append(balance)
-        return pdf.drop(columns="_entry").assign(quantity_before=before, quantity_after=after, accepted=ok)
+def _runs(pdf: pd.DataFrame, keys: list[str], state: dict):
+    """Row by row over sorted rows: (position, starts a new run). A run is one key and
+    segment; ``state`` carries the open run from one Arrow batch to the next."""
+    ids = list(zip(*[pdf[k].tolist() for k in keys]))
+    for i, key in enumerate(ids):
+        fresh = key != state.get("key")
+        state["key"] = key
+        yield i, fresh
+
+
+def _fold(keys: list[str], delta: str):
+    """Mark each step as accepted if the balance stays at or above 0. Memory is one batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+        balance = 0.0
+        for pdf in batches:
+            x, entry = pdf[delta].tolist(), pdf["_entry"].tolist()
+            before, after, ok = [0.0] * len(x), [0.0] * len(x), [False] * len(x)
+            for i, fresh in _runs(pdf, keys, state):
+                if fresh:
+                    balance = entry[i]
+                before[i] = balance
+                if balance + x[i] >= 0:
+                    balance += x[i]
+                    ok[i] = True
+                after[i] = balance
+            yield pdf.drop(columns="_entry").assign(quantity_before=before, quantity_after=after, accepted=ok)
 
     return run
 
 
-def _exit_balance(keys: list[str], delta: str, ts: str, tie: str):
-    run = _fold(delta, ts, tie)
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = run(pdf)
-        out = done[[*keys, "_seg_no"]].iloc[:1].copy()
-        out["_exit"] = done["quantity_after"].iloc[-1]
-        return out
+def _exits(keys: list[str], delta: str):
+    """Closing balance of each run."""
+    fold = _fold(keys, delta)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_run = None
+        for done in fold(batches):
+            if done.empty:
+                continue
+            done = done[[*keys, "quantity_after"]]
+            if open_run is not None:
+                done = pd.concat([open_run, done], ignore_index=True)
+            last = done[keys].ne(done[keys].shift(-1)).any(axis=1)
+            last.iloc[-1] = False
+            open_run = done.iloc[-1:]
+            yield done[last].rename(columns={"quantity_after": "_exit"})
+        if open_run is not None:
+            yield open_run.rename(columns={"quantity_after": "_exit"})
 
-    return last
+    return run
 
 
 def rejecting_ledger(events: DataFrame, keys: list[str], ts: str, tie: str, delta: str,
@@ -74,29 +100,34 @@ def rejecting_ledger(events: DataFrame, keys: list[str], ts: str, tie: str, delt
     rows = seg.join(numbered, [*keys, "_seg"]).drop("_seg")
     plain = rows.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.fields)
+    run = [*keys, "_seg_no"]
+
+    def in_order(entered: DataFrame) -> DataFrame:
+        return entered.repartition(*run).sortWithinPartitions(*run, ts, tie)
+
     if not numbered.where(F.col("_seg_no") > 0).limit(1).count():
         entered = rows.withColumn("_entry", F.lit(0.0))
     else:
         rows = materialise(rows)
-        sums = rows.groupBy(*keys, "_seg_no").agg(F.sum(delta).alias("_sum"))
+        sums = rows.groupBy(*run).agg(F.sum(delta).alias("_sum"))
         w = Window.partitionBy(*keys).orderBy("_seg_no")
-        entries = sums.select(*keys, "_seg_no", F.greatest(F.coalesce(
+        entries = sums.select(*run, F.greatest(F.coalesce(
             F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.lit(0.0)).alias("_entry"))
         keyed = ", ".join(f"`{k}` {plain[k].dataType.simpleString()}" for k in keys)
         while True:
             entries = materialise(entries)
-            exits = rows.join(entries, [*keys, "_seg_no"]).groupBy(*keys, "_seg_no").applyInPandas(
-                _exit_balance(keys, delta, ts, tie), f"{keyed}, _seg_no int, _exit double")
+            exits = in_order(rows.select(*run, ts, tie, delta).join(entries, run)).mapInPandas(
+                _exits(run, delta), f"{keyed}, _seg_no int, _exit double")
             following = exits.select(*keys, (F.col("_seg_no") + 1).alias("_seg_no"), "_exit")
-            nxt = materialise(entries.join(following, [*keys, "_seg_no"], "left").select(
-                *keys, "_seg_no", F.coalesce("_exit", F.lit(0.0)).alias("_new"), "_entry"))
+            nxt = materialise(entries.join(following, run, "left").select(
+                *run, F.coalesce("_exit", F.lit(0.0)).alias("_new"), "_entry"))
             changed = nxt.where(F.col("_new") != F.col("_entry")).limit(1).count()
-            entries = nxt.select(*keys, "_seg_no", F.col("_new").alias("_entry"))
+            entries = nxt.select(*run, F.col("_new").alias("_entry"))
             if not changed:
                 break
-        entered = rows.join(entries, [*keys, "_seg_no"])
-    out = entered.groupBy(*keys, "_seg_no").applyInPandas(
-        _fold(delta, ts, tie), f"{fields}, quantity_before double, quantity_after double, accepted boolean")
+        entered = rows.join(entries, run)
+    out = in_order(entered).mapInPandas(
+        _fold(run, delta), f"{fields}, quantity_before double, quantity_after double, accepted boolean")
     return out.drop("_seg_no")
 
 

@@ -338,7 +338,7 @@ def delta_vectors(df: DataFrame, length: int, horizon: int = 1) -> DataFrame:
 
 def fit_delta(seq: DataFrame) -> object:
     return LinearRegression(featuresCol="features", labelCol="target", predictionCol="delta_pred", elasticNetParam=0.5,
-                            regParam=0.01).fit(seq.select("features", "target"))
+                            regParam=0.01, solver="normal").fit(seq.select("features", "target"))
 
 
 def delta_model(df: DataFrame, length: int = 60, test_rows: int = 30) -> DataFrame:

@@ -133,6 +133,16 @@ def iqr_filter(df: DataFrame, value: str, multiplier: float = 3.0) -> tuple[Data
     return marked.where("_in").drop("_in", "_b"), marked.where(~F.col("_in")).drop("_in", "_b")
 
 
+def iqr_summary(df: DataFrame, value: str, multiplier: float = 3.0) -> DataFrame:
+    """Bounds, counts inside and outside, and the total inside, in one pass over the rows."""
+    pair = iqr_bounds(df, value, multiplier).select(F.struct("lower", "upper").alias("b")).scalar()
+    marked = df.select(F.col(value).alias("_v"), pair.alias("_b")).withColumn("_in", F.col("_v").between(F.col("_b.lower"), F.col("_b.upper")))
+    return marked.agg(
+        F.lit(value).alias("metric"), F.first("_b.lower").alias("lower"), F.first("_b.upper").alias("upper"),
+        F.count_if("_in").alias("inliers"), F.count_if(~F.col("_in")).alias("outliers"),
+        exact_sum(F.when(F.col("_in"), F.col("_v")), 2).alias("inlier_total"))
+
+
 def feature_correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """Pearson correlation with the target over the rows where both are known, in one pass."""
     pair = lambda c: F.corr(F.when(F.col(c).isNotNull(), F.col(target)), F.when(F.col(target).isNotNull(), F.col(c)))

@@ -257,17 +257,9 @@ def _iqr_sql(table, col, m):
 
 @query("iqr_filter", " UNION ALL ".join([_iqr_sql("orders", "o_totalprice", 0.2), _iqr_sql("lineitem", "l_quantity", 0.25), _iqr_sql("lineitem", "l_extendedprice", 3.0)]))
 def _(spark, sf):
-    parts = []
-    for table, c, m in (("orders", "o_totalprice", 0.2), ("lineitem", "l_quantity", 0.25), ("lineitem", "l_extendedprice", 3.0)):
-        df = bindings.read(spark, sf, table).select(c)
-        b = reports.iqr_bounds(df, c, m).select(F.struct("lower", "upper").alias("b")).scalar()
-        inside, outside = reports.iqr_filter(df, c, m)
-        n_in = inside.agg(F.struct(F.count(F.lit(1)).alias("n"), exact_sum(c, 2).alias("t")).alias("s"))
-        n_out = outside.agg(F.count(F.lit(1)).alias("n")).scalar()
-        parts.append(n_in.select(F.lit(c).alias("metric"), F.col("s.n").alias("inliers"), F.col("s.t").alias("inlier_total"),
-                                 n_out.alias("outliers"), b.alias("b")).select(
-            "metric", rnd("b.lower").alias("lower"), rnd("b.upper").alias("upper"), "inliers", "outliers", "inlier_total"))
-    return reports.stack_rows(parts)
+    return reports.stack_rows([
+        reports.iqr_summary(bindings.read(spark, sf, table), c, m).withColumns({x: rnd(x) for x in ("lower", "upper")})
+        for table, c, m in (("orders", "o_totalprice", 0.2), ("lineitem", "l_quantity", 0.25), ("lineitem", "l_extendedprice", 3.0))])
 
 
 @query("sample_rows")
