@@ -1,8 +1,9 @@
 """Exact linear-interpolated quantiles that never gather a whole group.
 
-``percentile`` keeps every distinct value of a group in one task. Here values
-are counted first, a fixed-size histogram per group locates the bins that hold
-the wanted ranks, and only those bins are ranked.
+``percentile`` keeps every distinct value of a group in one task. Here a
+mergeable sketch first gives a narrow value range around each wanted rank; the
+rows below and above it shrink to one counted row each on the map side, and only
+the values inside the range are ranked.
 """
 
 from __future__ import annotations
@@ -10,44 +11,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+ACCURACY = 100_000
+
 
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: list[str] | None = None,
-                    bins: int = 1024) -> DataFrame:
-    """One row per group with one column per named quantile of ``value``."""
-    keys = list(keys or [])
-    one = [] if keys else [F.lit(1).alias("_all")]
-    gk = keys or ["_all"]
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, *one, F.col(value).cast("double").alias("_v"))
-        .groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    bounds = counts.groupBy(*gk).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    binned = counts.join(bounds, gk).withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)))
-        .otherwise(F.lit(0)).cast("int"))
-    hist = binned.groupBy(*gk, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    upto = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """One row per group with one column per named quantile of ``value``.
 
+    The sketch's rank error is at most n / accuracy; the range is twice as wide on
+    each side, so the wanted ranks lie inside it or next to it.
+    """
+    keys = list(keys or [])
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    slack = 2.0 / accuracy
+    ends = [p for q in qs.values() for p in (max(0.0, q - slack), min(1.0, q + slack))]
+    sketch = F.percentile_approx("_v", ends, accuracy)
+    facts = F.struct(sketch.alias("ends"), F.count(F.lit(1)).alias("n"))
+    if keys:
+        ranged = rows.join(rows.groupBy(*keys).agg(facts.alias("_s")), keys)
+    else:
+        # one row for the whole table: a scalar subquery, not a join without a key
+        ranged = rows.withColumn("_s", rows.agg(facts.alias("s")).scalar())
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("pos")) for name, q in qs.items()])
-    hits = (
-        hist.withColumn("_w", F.explode(wanted))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_w.pos"), F.ceil("_w.pos")))))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bc")))
-        .select(*gk, "_b", "_before", F.col("_w.name").alias("_name"), F.col("_w.pos").alias("_pos"), "_rank")
-    )
-    in_bin = Window.partitionBy(*gk, "_b", "_name", "_rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    found = (
-        binned.select(*gk, "_b", "_v", "_c").join(hits, [*gk, "_b"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(in_bin), F.lit(0)))
-        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_c")))
+        F.struct(F.lit(name).alias("name"), F.col("_s.ends")[2 * i].alias("lo"), F.col("_s.ends")[2 * i + 1].alias("hi"),
+                 (F.lit(q) * (F.col("_s.n") - 1)).alias("pos")) for i, (name, q) in enumerate(qs.items())])
+    side = F.when(F.col("_v") < F.col("_w.lo"), 0).when(F.col("_v") > F.col("_w.hi"), 2).otherwise(1)
+    gk = [*keys, "_name"]
+    counted = (
+        ranged.select(*keys, "_v", F.explode(wanted).alias("_w"))
+        .select(*keys, F.col("_w.name").alias("_name"), F.col("_w.pos").alias("_pos"), side.alias("_side"), "_v")
+        .groupBy(*gk, "_pos", "_side", F.when(F.col("_side") == 1, F.col("_v")).alias("_inside"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    at = lambda n, x: F.when(F.col("_name") == n, F.col(x))
-    low, high = {n: F.min(at(n, "_v")) for n in qs}, {n: F.max(at(n, "_v")) for n in qs}
-    part = {n: F.max(at(n, "_pos")) for n in qs}
-    return found.groupBy(*gk).agg(*[
-        (low[n] + (high[n] - low[n]) * (part[n] - F.floor(part[n]))).alias(n) for n in qs]).select(*keys, *qs)
+    upto = Window.partitionBy(*gk).orderBy("_side", "_inside").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_start", F.coalesce(F.sum("_c").over(upto), F.lit(0))).withColumn(
+        "_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos"))))).where(
+        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_c")))
+    at = (F.when(F.col("_min") == F.col("_max"), F.col("_min"))
+          .when(F.col("_rank") == F.col("_start"), F.col("_min"))
+          .when(F.col("_rank") == F.col("_start") + F.col("_c") - 1, F.col("_max"))
+          .otherwise(F.raise_error(F.lit("quantile range missed its rank")).cast("double")))
+    found = ranked.withColumn("_x", at)
+    cols = []
+    for n in qs:
+        mine = lambda c: F.when(F.col("_name") == n, F.col(c))
+        low, high, pos = F.min(mine("_x")), F.max(mine("_x")), F.max(mine("_pos"))
+        cols.append((low + (high - low) * (pos - F.floor(pos))).alias(n))
+    return found.groupBy(*keys).agg(*cols).select(*keys, *qs)

@@ -46,12 +46,17 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", ["feature_matrix", "promo_features", "keyword_match", "cold_start", "context_signals", "similar_recipes", "ingredient_demand"])
+@pytest.mark.parametrize("key", ["feature_matrix", "promo_features", "keyword_match", "cold_start", "context_signals", "similar_recipes", "ingredient_demand", "slow_movers", "iqr_filter", "scenario_impact"])
 def test_no_cross_join(spark, sf, key):
     plan = _plan(Q[key](spark, sf))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "BatchEvalPython" not in plan
 
 
+def test_top_k_is_cut_before_the_shuffle(spark, sf):
+    for key in ("recent_revenue", "topn_per_store", "similar_recipes"):
+        assert "WindowGroupLimit" in _plan(Q[key](spark, sf)), key
+
+
 def test_series_windows_share_one_exchange(spark):
     from larder.operators import features
     g = spark.range(100).select(F.lit(1).alias("place_id"), (F.col("id") % 5).alias("item_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.rand(1).alias("quantity_sold"))
