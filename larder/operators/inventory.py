@@ -251,3 +251,14 @@ def order_repricing(orders: DataFrame, lines: DataFrame, products: DataFrame) ->
     total = F.col("subtotal") - F.col("discount_amount") + F.col("tax_amount") + F.col("tip_amount")
     audit = orders.join(per, "order_id").withColumn("total", total).withColumn("difference", F.round(F.col("total") - F.col("stored_total"), 2))
     return audit, unknown
+
+
+def stock_status(status: DataFrame) -> DataFrame:
+    """LOW or OK per tracked item; untracked items are left out."""
+    q, t = F.col("quantity"), F.col("threshold")
+    return status.where(q.isNotNull()).withColumn("stock_status", F.when(q <= t, "LOW").otherwise("OK"))
+
+
+def low_stock_count(status: DataFrame) -> DataFrame:
+    """Items, and how many of them lie strictly below their threshold."""
+    return status.agg(F.count(F.lit(1)).alias("total_items"), F.count_if(F.col("quantity") < F.col("threshold")).alias("low_stock_count"))

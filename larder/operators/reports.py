@@ -224,3 +224,17 @@ def forecast_insights(fc: DataFrame, volatility: float = 0.5, top: int = 5) -> D
     prep = fc.where(F.col("date") == first).select(
         F.lit("prep").alias("kind"), F.col("item_name").alias("name"), F.ceil("predicted_quantity").cast("double").alias("value"))
     return days.unionByName(vol.select(F.lit("volatile").alias("kind"), F.col("item_name").alias("name"), F.col("v").alias("value"))).unionByName(prep)
+
+
+def table_stats(tables: DataFrame, statuses: tuple[str, ...] = ("AVAILABLE", "OCCUPIED", "RESERVED", "DIRTY")) -> DataFrame:
+    """Count per status, seats and occupancy in percent."""
+    n = F.count(F.lit(1))
+    return tables.agg(
+        n.alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in statuses],
+        F.coalesce(F.sum("capacity"), F.lit(0)).alias("total_capacity"),
+        F.coalesce(F.try_divide(F.count_if(F.col("status") == "OCCUPIED") * 100.0, n), F.lit(0.0)).alias("occupancy_rate"))
+
+
+def latest_rows(df: DataFrame, ts: str, tie: str, limit: int = 5000) -> DataFrame:
+    """The newest rows, as a live feed is read."""
+    return df.orderBy(F.desc(ts), F.desc(tie)).limit(limit)

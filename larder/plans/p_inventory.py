@@ -374,3 +374,13 @@ def _(spark, sf):
     words = p.select(F.explode(coldstart.keywords(F.concat_ws(" ", "p_name", "p_type"))).alias("word"))
     titles = p.select(F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name", "p_brand").alias("item"))
     return coldstart.match_titles(words, titles)
+
+
+@query("stock_status", Q("inv", "SELECT id, sku_id, quantity, threshold, CASE WHEN quantity <= threshold THEN 'LOW' ELSE 'OK' END AS stock_status FROM inv WHERE quantity IS NOT NULL"))
+def _(spark, sf):
+    return inventory.stock_status(p_joins._status(spark, sf)).select("id", "sku_id", "quantity", "threshold", "stock_status")
+
+
+@query("low_stock_count", Q("inv", "SELECT COUNT(*) AS total_items, COUNT(*) FILTER (quantity < threshold) AS low_stock_count FROM inv"))
+def _(spark, sf):
+    return inventory.low_stock_count(p_joins._status(spark, sf))

@@ -155,7 +155,9 @@ def _(spark, sf):
     return promo.add_promotion_features(frames.grid(spark, sf).select("date", "place_id", "item_id"), cal)
 
 
-@query("orders_nested")
+@query("orders_nested", """WITH e AS (SELECT l_orderkey AS k, l_linenumber AS a, l_partkey AS b, l_quantity AS c, l_extendedprice AS d, COUNT(*) AS n FROM lineitem GROUP BY ALL),
+n AS (SELECT k, '[' || STRING_AGG('{"l_linenumber":' || a || ',"l_partkey":' || b || ',"l_quantity":' || c || ',"l_extendedprice":' || d || ',"copies":' || n || '}', ',' ORDER BY a, b, c, d) || ']' AS items FROM e GROUP BY k)
+SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN k IS NOT NULL THEN 0 END AS chunk, items FROM orders LEFT JOIN n ON k = o_orderkey""")
 def _(spark, sf):
     l = bindings.read(spark, sf, "lineitem")
     o = bindings.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -165,7 +167,8 @@ def _(spark, sf):
     return out.withColumn("items", F.to_json("items"))
 
 
-@query("nested_children")
+@query("nested_children", """WITH n AS (SELECT s_nationkey AS k, '[' || STRING_AGG('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","s_acctbal":' || s_acctbal || ',"copies":1}', ',' ORDER BY s_suppkey) || ']' AS suppliers
+  FROM supplier GROUP BY 1) SELECT n_nationkey, n_name, n_regionkey, CASE WHEN k IS NOT NULL THEN 0 END AS chunk, suppliers FROM nation LEFT JOIN n ON k = n_nationkey""")
 def _(spark, sf):
     s = bindings.read(spark, sf, "supplier")
     n = bindings.read(spark, sf, "nation")

@@ -378,3 +378,21 @@ def _(spark, sf):
     from larder.operators import business
     out = business.cumulative_savings(frames.predictions(spark, sf), "ma28", "predicted")
     return out.withColumns({c: rnd(c, 2) for c in ("baseline_cum", "model_cum", "savings_cum")})
+
+
+@query("table_stats", """SELECT COUNT(*) AS total, COUNT(*) FILTER (s = 0) AS available, COUNT(*) FILTER (s = 1) AS occupied, COUNT(*) FILTER (s = 2) AS reserved,
+  COUNT(*) FILTER (s = 3) AS dirty, CAST(SUM(c) AS BIGINT) AS total_capacity, COUNT(*) FILTER (s = 1) * 100.0::DOUBLE / COUNT(*) AS occupancy_rate
+FROM (SELECT s_nationkey % 5 AS s, s_suppkey % 8 + 2 AS c FROM supplier)""")
+def _(spark, sf):
+    s = bindings.read(spark, sf, "supplier")
+    names = F.array(*[F.lit(x) for x in ("AVAILABLE", "OCCUPIED", "RESERVED", "DIRTY", "CLOSED")])
+    return reports.table_stats(s.select(names[F.col("s_nationkey") % 5].alias("status"), (F.col("s_suppkey") % 8 + 2).alias("capacity")))
+
+
+@query("live_order_items", """SELECT o_orderkey, l_linenumber, l_partkey, l_quantity, CAST(o_orderdate AS DATE) AS created FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+ORDER BY o_orderdate DESC, o_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC LIMIT 5000""")
+def _(spark, sf):
+    o = bindings.read(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("created"))
+    l = bindings.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_quantity")
+    j = l.join(o, "o_orderkey").withColumn("tie", F.struct("o_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    return reports.latest_rows(j, "created", "tie").drop("tie")

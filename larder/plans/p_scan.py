@@ -100,7 +100,8 @@ def _(spark, sf):
     return catalog.table_info({n: bindings.read(spark, sf, n) for n in TABLES})
 
 
-@query("json_records")
+@query("json_records", """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","value":' ||
+  CASE WHEN event_type = 'error' THEN 'null' ELSE CAST(value AS VARCHAR) END || '}' AS record FROM events""")
 def _(spark, sf):
     e = bindings.read(spark, sf, "events")
     bad = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
@@ -277,3 +278,24 @@ def _(spark, sf):
 def _(spark, sf):
     return cleaning.search_any(bindings.read(spark, sf, "part"), "RED", ["p_name", "p_brand", "p_type"]).select(
         "p_partkey", "p_name", "p_brand", "p_type")
+
+
+@query("parse_datetime", """SELECT event_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS from_text,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS from_ms, strftime(ts, '%Y-%m-%d %H:%M:%S') AS from_s, NULL::VARCHAR AS from_noise FROM events""")
+def _(spark, sf):
+    df = bindings.read(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("text"),
+        F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("ms"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("s"), F.col("event_type").alias("noise"))
+    for c in ("text", "ms", "s", "noise"):
+        df = files.parse_datetime(df, c, f"from_{c}")
+    return df.select("event_id", *[F.date_format(f"from_{c}", "yyyy-MM-dd HH:mm:ss").alias(f"from_{c}") for c in ("text", "ms", "s", "noise")])
+
+
+@query("split_ids", """SELECT o_custkey, TRY_CAST(TRIM(x) AS BIGINT) AS item_id FROM (SELECT o_custkey, UNNEST(string_split(ids, '|')) AS x FROM
+  (SELECT o_custkey, CAST(MIN(o_orderkey) AS VARCHAR) || '||' || MAX(o_orderkey) || '|' || CASE WHEN o_custkey % 3 = 0 THEN 'x' ELSE '' END AS ids FROM orders GROUP BY o_custkey)) WHERE TRIM(x) <> ''""")
+def _(spark, sf):
+    o = bindings.read(spark, sf, "orders").groupBy("o_custkey").agg(F.concat(
+        F.min("o_orderkey").cast("string"), F.lit("||"), F.max("o_orderkey").cast("string"), F.lit("|")).alias("head"))
+    ids = F.concat("head", F.when(F.col("o_custkey") % 3 == 0, "x").otherwise(""))
+    return files.split_ids(o.select("o_custkey", ids.alias("ids")), "ids", "item_id").select("o_custkey", "item_id")

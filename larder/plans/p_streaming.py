@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.plans.p_ledger import stock_events
+from larder.plans.p_ledger import RQ, _SEV
 from larder.plans.registry import query
 from larder.plans.sqlbase import S
 from larder.sources import bindings
@@ -28,7 +28,7 @@ def _(spark, sf):
     return live.drain(spark, live.day_demand(lines, orders))
 
 
-@query("stream_ledger")
+@query("stream_ledger", RQ(_SEV, "ingredient_id, location_id", "SELECT event_id, ingredient_id, location_id, quantity, quantity_before, quantity_after, accepted FROM led"))
 def _(spark, sf):
     schema = bindings.read(spark, sf, "events").schema
     e = live.file_stream(spark, sf, "events.parquet", schema)

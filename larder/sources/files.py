@@ -131,3 +131,26 @@ def weather_dim(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def parse_datetime(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Timestamp of a text or epoch column, decided by one profile row of the whole column.
+
+    Text if most values parse as a time; else milliseconds or seconds by the largest
+    number if most values are numbers; else NULL.
+    """
+    text = F.col(column).cast("string").try_cast("timestamp_ntz")
+    x = number(column)
+    n = F.count(F.lit(1))
+    unit = (F.when(F.try_divide(F.count(text), n) >= MIN_SHARE, "text").when(F.try_divide(F.count(x), n) < MIN_SHARE, "none")
+            .when(F.max(x) > 1e12, "ms").otherwise("s"))
+    mode = df.agg(unit.alias("m")).scalar()
+    secs = F.when(mode == "ms", x / 1000).otherwise(x).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=secs)
+    return df.withColumn(out, F.when(mode == "text", text).when(mode.isin("ms", "s"), epoch))
+
+
+def split_ids(df: DataFrame, column: str, out: str) -> DataFrame:
+    """One row per id of a pipe-separated list; empty parts are dropped."""
+    ids = F.filter(F.split(column, r"\|"), lambda s: F.trim(s) != "")
+    return df.withColumn(out, F.explode(ids)).withColumn(out, F.col(out).try_cast("long"))
