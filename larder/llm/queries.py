@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import decontam, linededup, mixing, sharding
+from larder.llm import ann, decontam, linededup, mixing, neardup, sharding
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,26 @@ FROM keyed LEFT JOIN first USING (k) GROUP BY doc_id
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op1_ann")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"), every=20, k=20)
+
+
+@query("op5_near_duplicates", f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0),
+shingle AS (SELECT DISTINCT doc_id, w[i:i + 2] AS s FROM spot),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * x >= 85 * (p.n + q.n - x)),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM step UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(m, d.doc_id)) = d.doc_id AS kept
+FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
+""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)

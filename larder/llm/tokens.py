@@ -121,13 +121,10 @@ def walk(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, raw[at[i]: at[j]], at[i: j + 1] - at[i]
 
 
-_STEP = [U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
-
-
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (hash, row) of the ``width``-word shingles of each row; a row with
     fewer words, but some, gives its whole sequence as one."""
-    step = [mix(np.array([_STEP[i % 5] * U(2 * i + 1)], dtype=U))[0] | U(1) for i in range(width)]
+    step = mix(np.arange(1, width + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
     n = len(h)
     if n >= width:
         v = h[: n - width + 1] * step[0]
