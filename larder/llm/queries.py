@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import ann, decontam, linededup, mixing, neardup, sharding
+from larder.llm import ann, decontam, linededup, lm, mixing, neardup, sharding
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
 """)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf, "documents"))
