@@ -41,3 +41,30 @@ def fresh(name: str) -> str:
 def rows_per_batch(spark: SparkSession, rows: int = 512):
     """Fewer rows in an Arrow batch, so that a batch of long texts stays small in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, folds: int, held_fold: int,
+                    rows: int, max_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample to fit a classifier on, and the number of labelled rows per class outside the held fold.
+
+    Of each class at most ``rows`` rows of smallest hash and ``max_bytes`` of text, as (id, text, label, part); part is 0
+    or 1 by hash. Null and other labels are left out; an id labelled twice has its largest label.
+    """
+    lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where(
+        "label IN (0, 1) AND id IS NOT NULL").where(fold(F.col("id"), folds) != held_fold).groupBy("id").agg(F.max("label").alias("label"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"))
+    narrow = keyed.select("id", "h", F.octet_length("text").alias("size")).join(lab, "id").distinct()
+    known = {r["label"]: r["count"] for r in narrow.groupBy("label").count().collect()}
+    chosen = []
+    for k in sorted(known):
+        used = 0
+        for r in narrow.where(F.col("label") == k).orderBy("h", "id").limit(rows).collect():
+            used += r["size"] + 1
+            if used > max_bytes and chosen:
+                break
+            chosen.append((r["id"], r["h"], k))
+    kind = narrow.schema["id"].dataType.simpleString()
+    few = docs.sparkSession.createDataFrame(chosen, f"id {kind}, h long, label int")  # at most 2 * rows
+    return keyed.join(F.broadcast(few), ["id", "h"]).select(
+        "id", "text", "label", F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(2)).cast("int").alias("part")), known

@@ -99,8 +99,10 @@ def plan(df: DataFrame, target_entropy: float | None, max_repeat: float | None,
         "passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int")).withColumn(
         "rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0))
     block = F.pmod("cell", "blocks")
-    by_block = cells.join(sources, "key").where("rest > 0").groupBy(
-        "key", "rest", block_hash(seed, F.col("passes") + 1, block).alias("bh")).agg(F.sum(cells["tokens"]).alias("t"))
+    # dealt by block, so that the cells of a hot source don't meet in one task
+    by_block = cells.join(sources, "key").where("rest > 0").select(
+        "key", "rest", block_hash(seed, F.col("passes") + 1, block).alias("bh"), cells["tokens"].alias("t")).repartition(
+        "key", "bh").groupBy("key", "rest", "bh").agg(F.sum("t").alias("t"))
     w = Window.partitionBy("key").orderBy("bh")
     at = by_block.withColumn("upto", F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cut = at.where("upto > rest").groupBy("key").agg(

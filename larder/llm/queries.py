@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import ann, decontam, linededup, lm, mixing, neardup, sharding
+from larder.llm import ann, decontam, linededup, lm, mixing, neardup, quality, sharding, toxicity
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_lm_scoring")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score_documents(table(spark, sf, "documents"))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
