@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import ann, decontam, linededup, lm, mixing, neardup, quality, sharding, toxicity
+from larder.llm import ann, decontam, htmltext, linededup, lm, mixing, neardup, quality, sharding, toxicity
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_html")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    text = htmltext.main_text(table(spark, sf, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
