@@ -1,16 +1,30 @@
-"""The corpus pipeline: each stage calls one operator of larder.llm on all that its predecessor kept."""
+"""The corpus pipeline: each stage calls one operator of larder.llm on all that its predecessor kept.
+
+Nulls in any column, empty and very long texts, repeated rows and empty tables are answered as each operator states.
+Columns beside those of ``documents`` pass through every stage, but for names the last stage adds itself.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import decontam, mixing, sharding
+from larder.llm import decontam, mixing, neardup, sharding, toxicity
 from larder.llm.common import table, written
 
-#: Held by a brute-force test: no SQL trains a dictionary or draws a permutation.
+#: SQL trains no dictionary; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of these documents, does not call toxic."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    return neardup.keep_one(docs, width=5, percent=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
@@ -18,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; small sources again until the mixture is flat enough."""
+    """Every document at least once, documents of small sources again until the mixture is flat enough."""
     return mixing.mix(docs, target_entropy=0.97, max_repeat=2.0).select(*docs.columns)
 
 
@@ -28,6 +42,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", near_dedup),
     ("decontamination", decontaminate),
     ("mixing", mix_sources),
     ("sharding", shard),
