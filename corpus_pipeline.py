@@ -32,8 +32,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, documents of small sources again until the mixture is flat enough."""
-    return mixing.mix(docs, target_entropy=0.97, max_repeat=2.0).select(*docs.columns)
+    """Every document at least once, sources as even as they get before one is read more than twice."""
+    return mixing.mix(docs, max_repeat=2.0).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
