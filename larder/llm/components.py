@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from larder.llm.common import written
 
 
-def _digest(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_star(e: DataFrame) -> bool:
+    """Whether every id points to one root and no root points on."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(
+        e.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 OR out + root > 1").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,14 +21,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     an id with very many links is never gathered into one row.
     """
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
-    seen = None
-    while (now := _digest(edges)) != seen:
-        seen = now
-        if not now[0]:
-            break
+    while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")

@@ -9,10 +9,10 @@ distance threshold shares a key. Candidates within the threshold are confirmed
 on the full shingle sets of their texts.
 
 Documents with equal sets are one class; only its smallest id is signed into
-buckets. A bucket is tested by stars: its centre against its other members.
-What is joined already needs no further test, so a bucket of thousands of near
-copies costs a few stars instead of all pairs; the pairs that stars leave open,
-across components, are then all tested. The chance that a pair at the similarity
+buckets. A bucket is first tested by a star: its centre against its other members.
+What that joins needs no further test. Buckets that still hold several components are tested in full:
+small ones by their pairs, large ones in blocks whose tasks answer with a spanning set of links, so a group of
+thousands of near copies never turns into all its pairs. The chance that a pair at the similarity
 threshold lies outside the signature distance is stated by ``miss_chance``.
 
 Null and empty texts have no shingles and no links. A null id takes part in
@@ -36,7 +36,8 @@ from larder.llm.components import components
 from larder.llm.tokens import U, mix
 
 SYMBOLS, CHUNKS, ERRORS = 32, 8, 1
-STAR_ROUNDS = 6
+SMALL = 64  # members of a bucket whose open pairs are listed
+BLOCK_SHINGLES = 1 << 20
 _A = mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
 _B = mix(np.arange(1001, 1257, dtype=U)) | U(1)
 
@@ -146,6 +147,62 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _links(width: int, percent: int):
+    """Links of one pair of blocks that join components not joined before: a spanning set of them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        root: dict = {}
+
+        def find(i):
+            while root.setdefault(i, i) != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        ids, of = t.column("id").to_pylist(), t.column("component").to_pylist()
+        own = sets(t.column("text").to_pylist(), width)
+        size = np.array([len(x) for x in own])
+        v, owner = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+        order = np.argsort(v, kind="stable")
+        held = owner[order]  # owners by shingle
+        _, first, n = np.unique(v[order], return_index=True, return_counts=True)
+        place = np.empty(len(v), dtype=np.int64)
+        place[order] = np.repeat(np.arange(len(first)), n)
+        cut, a, b = np.concatenate([[0], np.cumsum(size)]), [], []
+        for x in range(len(own)):
+            mine = place[cut[x]: cut[x + 1]]
+            mine = mine[n[mine] > 1]
+            if not len(mine):
+                continue
+            both = np.bincount(np.concatenate([held[first[k]: first[k] + n[k]] for k in mine]), minlength=len(own))
+            near = np.flatnonzero(100 * both >= percent * (size[x] + size - both))
+            for y in near[near > x]:
+                p, q = find(of[x]), find(of[y])
+                if p != q:
+                    root[p] = q
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+        kind = t.schema.field("id").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    return run
+
+
+def _by_blocks(left: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, pair: str) -> DataFrame:
+    """Links across components inside large open buckets, without emitting pairs.
+
+    Documents that share such buckets, directly or through others, are a group. A group is cut into blocks of about
+    BLOCK_SHINGLES shingles, and every pair of blocks is a task that tests its documents on their full sets.
+    """
+    group = components(left.select(F.col("centre").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "g")
+    members = written(left.select("id", "component").distinct().join(group, "id").join(classes.select("id", "n"), "id"), "members")
+    blocks = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(docs, "id").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("id", "component", "text", "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).groupBy(
+        "g", "i", "j").applyInArrow(_links(width, percent), pair)
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     symbols: int = SYMBOLS, chunks: int = CHUNKS, errors: int = ERRORS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept.
@@ -170,45 +227,30 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 
     sigs = classes.select("id", "n", "sig")
 
-    def test(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs within the signature distance, those confirmed on the full sets)."""
+    def test(pairs: DataFrame) -> DataFrame:
+        """The pairs within the signature distance that the full sets confirm."""
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         p = p.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a")), "a").join(
             sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sig_b")), "b")
         p = p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        close = written(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_near(symbols, most), pair), "close").distinct()
+        close = written(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_near(symbols, most), pair), "close")
         wanted = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
         texts = written(docs.join(wanted, "id", "left_semi"), "texts")
         full = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return close, written(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), pair), "confirmed")
-
-    tested, links = test(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    joined = written(components(links), "joined")
-    for k in range(STAR_ROUNDS + 1):
-        of = buckets.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        left = written(of.join(open_keys, "key"), "open")
-        cells = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        n, pairs = cells.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own")).agg(
-            F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
-        if not n:
-            break
-        every = k == STAR_ROUNDS or pairs <= 2 * n  # few enough to test them all at once
-        if every:
-            other = left.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            more = left.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb"))).select(
-                F.col("id").alias("a"), "b")
-        else:
-            centre = left.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(k), "id")).alias("c"))
-            more = left.join(centre, "key").where(F.col("component") != F.col("c.component")).select(F.col("c.id").alias("a"), F.col("id").alias("b"))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        close, found = test(more.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(close)
-        links = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
-        joined = written(components(links), "joined")
-        if every:
-            break
+        return written(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), pair), "confirmed")
+
+    joined = written(components(test(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))), "joined")
+    # what is left: buckets that hold more than one component
+    of = buckets.select("key", "id", "centre").join(joined, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("component"))
+    open_keys = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).where(
+        "x <> y").select("key", "members")
+    left = written(of.join(open_keys, "key"), "open")
+    few = left.where(F.col("members") <= SMALL)
+    pairs = few.join(few.select("key", F.col("id").alias("b"), F.col("component").alias("cb")), "key").where(
+        (F.col("id") < F.col("b")) & (F.col("component") != F.col("cb"))).select(F.col("id").alias("a"), "b")
+    found = test(pairs).unionByName(_by_blocks(left.where(F.col("members") > SMALL), docs, classes, width, percent, pair))
+    joined = written(components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)), "joined")
     member = classes.select("sa", "sb", "n", F.col("id").alias("rep")).join(
         joined.withColumnRenamed("id", "rep"), "rep", "left").select("sa", "sb", "n", F.coalesce("component", "rep").alias("c"))
     rows = signed.select("id", "n", "sa", "sb").join(member, ["sa", "sb", "n"], "left")
