@@ -33,7 +33,7 @@ from larder.llm.tokens import U, mix
 
 PROBES, BITS_PER_ENTRY, WORD_BITS = 5, 10, 8
 BLOCK_BITS = 512
-FLUSH, GROUP_BYTES, SEGMENT_KEYS = 1 << 21, 8 << 20, 1 << 20
+FLUSH, GROUP_BYTES, SEGMENT_KEYS, PROBE_KEYS = 1 << 20, 4 << 20, 1 << 20, 1 << 16
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 _UNI, _CTX = U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)
 _HIGH = U(((1 << 36) - 1) << 28)  # 36 bits of a bigram key tell its context, 28 the word
@@ -159,7 +159,11 @@ class Shard:
         self.words, self.counts = words, counts
 
     def levels(self, keys: np.ndarray, out: np.ndarray) -> None:
-        """Write the level read for each key that belongs here."""
+        """Write the level read for each key that belongs here, a few keys at a time."""
+        for a in range(0, len(keys), PROBE_KEYS):
+            self._levels(keys[a: a + PROBE_KEYS], out[a: a + PROBE_KEYS])
+
+    def _levels(self, keys: np.ndarray, out: np.ndarray) -> None:
         seg = (keys >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), dtype=np.int64)
         todo = np.flatnonzero((seg >= self.first) & (seg < self.last))
         seg = seg[todo] - self.first
@@ -188,7 +192,7 @@ class Model:
         self.n, self.v, self.texts, self.weight, self.shards = n, v, texts, weight, shards
 
 
-def fit(df: DataFrame, shard_bytes: int = 128 << 20) -> Model:
+def fit(df: DataFrame, shard_bytes: int = 96 << 20) -> Model:
     """Learn from the texts in column ``text``."""
     spark, dealing = df.sparkSession, "seg int, keys binary, counts binary"
 
@@ -295,16 +299,21 @@ def _scorer(model: Model):
             tok = np.concatenate([p[2] for p in parts])
             ends = np.cumsum([0, *(len(p[2]) for p in parts)])
             start = np.concatenate([*(p[3][:-1] + e for p, e in zip(parts, ends)), ends[-1:]])
-            k1, k2 = uni_keys(tok), bi_keys(tok, contexts(tok, start))
-            exact, uni, bi = np.zeros(len(tok), dtype=np.int64), np.zeros(len(tok), dtype=np.uint8), np.zeros(len(tok), dtype=np.uint8)
+            # each word and each bigram of the group is looked up once
+            pairs, at2 = np.unique(bi_keys(tok, contexts(tok, start)), return_inverse=True)
+            words, at1 = np.unique(tok, return_inverse=True)
+            k1 = uni_keys(words)
+            exact, uni, bi = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.uint8), np.zeros(len(pairs), dtype=np.uint8)
             for shard in model.shards:
                 s = shard.value
-                s.exact(tok, exact)
+                s.exact(words, exact)
                 if len(s.data):
                     s.levels(k1, uni)
-                    s.levels(k2, bi)
+                    s.levels(pairs, bi)
                 if len(model.shards) > 2:  # one at a time in memory
                     del shard._value
+            exact, uni, bi = exact[at1], uni[at1], bi[at2]
+            del tok, pairs, words, at1, at2, k1
             base, score = log_probabilities(model, exact, uni, bi, start)
             first = start[:-1]
             yield pa.RecordBatch.from_arrays(
@@ -316,7 +325,7 @@ def _scorer(model: Model):
 
 
 def score_documents(df: DataFrame, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text",
-                    shard_bytes: int = 128 << 20) -> DataFrame:
+                    shard_bytes: int = 96 << 20) -> DataFrame:
     """One row per text: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Rows of fold ``held_fold`` (crc32 of the id as text, modulo ``folds``) are scored but not learned from.
