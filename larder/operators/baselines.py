@@ -79,10 +79,10 @@ def matches_any(name: Column, words: list[str]) -> Column:
 
 def history_stats(daily: DataFrame, key: str = "item_name") -> DataFrame:
     """Mean, sample deviation, count and total of the daily sums (exact for whole quantities)."""
-    n, s, q = F.count("quantity_sold"), F.sum("quantity_sold"), F.sum(F.col("quantity_sold") ** 2)
-    var = F.try_divide(q - s * s / n, n - 1)
+    n, s = F.count("quantity_sold"), F.sum("quantity_sold")
+    # the built-in deviation updates around the running mean, so large totals don't cancel
     return daily.groupBy(key).agg(
-        (s / n).alias("avg_daily"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_daily"),
+        (s / n).alias("avg_daily"), F.round(F.stddev_samp("quantity_sold"), 9).alias("std_daily"),
         n.alias("active_days"), s.alias("total_sold"),
         F.min("quantity_sold").alias("min_daily"), F.max("quantity_sold").alias("max_daily"))
 

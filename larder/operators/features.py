@@ -87,24 +87,36 @@ def rolling_features(df: DataFrame, target: str = "quantity_sold", keys: list[st
     })
 
 
+EWM_BLOCK = 128
+
+
+def decayed(rate: float):
+    return lambda total, x: total * rate + x
+
+
 def ewm_features(df: DataFrame, target: str = "quantity_sold", keys: list[str] = SERIES,
-                 spans: tuple[int, ...] = (7, 14, 30), eps: float = 1e-12) -> DataFrame:
-    """Exponentially weighted mean of the earlier rows, weights (1-a)^k, normalised.
+                 spans: tuple[int, ...] = (7, 14, 30)) -> DataFrame:
+    """Exponentially weighted mean of all earlier rows, weights (1-a)^k, normalised; null for the first row.
 
-    Only rows whose weight is above ``eps`` enter, so each array is of fixed length.
+    A series is cut into blocks of 128 rows. Inside a block the weighted sum is a running sum of
+    rescaled values; what earlier blocks leave is carried through the few block totals, so
+    every row counts however far back it lies and the work is linear.
     """
-    cols = {}
-    for span in spans:
-        alpha = 2.0 / (span + 1)
-        n = math.ceil(math.log(eps) / math.log(1 - alpha))
-        w = series_window(keys, "date", -n, -1)
-        acc = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-        cols[f"ewm_{span}d"] = F.aggregate(
-            F.collect_list(F.col(target).cast("double")).over(w), acc,
-            lambda s, x: F.struct((s["num"] * (1 - alpha) + x).alias("num"),
-                                  (s["den"] * (1 - alpha) + 1.0).alias("den")),
-            lambda s: F.try_divide(s["num"], s["den"]))
-    return df.withColumns(cols)
+    at = F.row_number().over(series_window(keys, "date")) - 1
+    cells = df.withColumn("_n", at).withColumn("_b", F.floor(F.col("_n") / EWM_BLOCK)).withColumn("_p", F.col("_n") % EWM_BLOCK)
+    x, p = F.coalesce(F.col(target).cast("double"), F.lit(0.0)), F.col("_p")
+    rates = {s: 1 - 2.0 / (s + 1) for s in spans}
+    before = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({f"_in{s}": F.coalesce(F.sum(x * F.pow(F.lit(r), -p)).over(before) * F.pow(F.lit(r), p - 1), F.lit(0.0)) for s, r in rates.items()})
+    # what a whole block adds at its end, and what its predecessors add at its start
+    ends = cells.groupBy(*keys, "_b").agg(*[F.sum(x * F.pow(F.lit(r), EWM_BLOCK - 1 - p)).alias(f"_e{s}") for s, r in rates.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_b", *[
+        F.aggregate(F.collect_list(f"_e{s}").over(earlier), F.lit(0.0), decayed(r**EWM_BLOCK)).alias(f"_c{s}") for s, r in rates.items()])
+    out = cells.join(carry, [*keys, "_b"])
+    weight = lambda r: (1 - F.pow(F.lit(r), F.col("_n"))) / (1 - r)
+    return out.select(*[F.col(c) for c in df.columns], *[
+        F.when(F.col("_n") > 0, (F.col(f"_in{s}") + F.pow(F.lit(r), p) * F.col(f"_c{s}")) / weight(r)).alias(f"ewm_{s}d") for s, r in rates.items()])
 
 
 def demand_deltas(df: DataFrame, target: str = "quantity_sold", keys: list[str] = SERIES) -> DataFrame:

@@ -150,11 +150,12 @@ def _exploded(product_demand: DataFrame, products: DataFrame, skus: DataFrame, b
     ids = products.groupBy(F.lower("title").alias("_t")).agg(F.max("id").alias("item_id"))
     s = skus.select(F.col("id").alias("sku_id"), "item_id", "type")
     linked = product_demand.select(F.lower("item_name").alias("_t"), F.col("item_name").alias("product"), "demand").join(ids, "_t").join(s, "item_id")
-    parts = bom.select(F.col("parent_sku_id").alias("sku_id"), F.col("sku_id").alias("_child"), F.col("quantity").alias("_per"))
+    # only composites go through their parts; a plain unit with parts of its own still counts once
+    parts = bom.join(skus.where(F.col("type") == "composite").select(F.col("id").alias("parent_sku_id")), "parent_sku_id", "left_semi").select(
+        F.col("parent_sku_id").alias("sku_id"), F.col("sku_id").alias("_child"), F.col("quantity").alias("_per"))
     both = linked.join(parts, "sku_id", "left")
-    through = (F.col("type") == "composite") & F.col("_child").isNotNull()
-    kept = both.where(through | F.col("_child").isNull() | (F.col("type") != "composite"))
-    return kept.select(
+    through = F.col("_child").isNotNull()
+    return both.select(
         F.when(through, F.col("_child")).otherwise(F.col("sku_id")).alias("sku_id"), "product",
         F.when(through, F.col("demand") * F.col("_per")).otherwise(F.col("demand")).alias("demand"))
 

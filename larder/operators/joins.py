@@ -130,9 +130,15 @@ def union_catalog(first: DataFrame, second: DataFrame) -> DataFrame:
     return first_row_per_key(both, ["id"], [F.col("_src")]).drop("_src")
 
 
-def upsert(base: DataFrame, updates: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``updates`` replace those of ``base`` with the same key."""
-    return base.join(updates, on, "left_anti").unionByName(updates)
+def upsert(base: DataFrame, updates: DataFrame, on: list[str], order_by: str | None = None) -> DataFrame:
+    """Rows of ``updates`` replace those of ``base`` with the same key.
+
+    Of several updates of a key the largest ``order_by`` stays; without one, the row that is largest column by column.
+    """
+    rest = [c for c in updates.columns if c not in on]
+    last = F.struct(*([order_by] if order_by else []), *rest)
+    latest = updates.groupBy(*on).agg(F.max(last).alias("_last")).select(*on, *[F.col(f"_last.{c}").alias(c) for c in rest]) if rest else updates.distinct()
+    return base.join(latest, on, "left_anti").unionByName(latest)
 
 
 def replace_children(children: DataFrame, new: DataFrame, parent: str, items: str, child: str) -> DataFrame:

@@ -130,11 +130,11 @@ def _sub(kw: dict) -> dict:
     return {k: v for k, v in kw.items() if k in ("actual", "pred")}
 
 
-def business_summary(comparison: DataFrame, test_days: int) -> DataFrame:
-    """Best against worst model, annualised."""
+def business_summary(comparison: DataFrame, test_days: int | Column) -> DataFrame:
+    """Best against worst model, annualised from ``test_days`` days: a number, or a scalar such as the distinct days."""
     best = F.min_by(F.struct(*comparison.columns), F.struct("total_cost_dkk", "model"))
     worst = F.max_by(F.struct(*comparison.columns), F.struct("total_cost_dkk", "model"))
-    f = 365 / max(test_days, 1)
+    f = F.lit(365.0) / F.greatest(F.lit(test_days) if isinstance(test_days, int) else test_days, F.lit(1))
     x = comparison.agg(best.alias("b"), worst.alias("w"))
     diff = lambda c: F.col(f"w.{c}") - F.col(f"b.{c}")
     cut = lambda c: (1 - F.col(f"b.{c}") / F.greatest(F.col(f"w.{c}"), F.lit(1.0))) * 100

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 from multiprocessing.pool import ThreadPool
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -164,7 +166,7 @@ def cv_metrics(df: DataFrame, folds: int = 5, **params) -> DataFrame:
 
 
 def with_confidence(df: DataFrame, pred: str, rmse: Column, confidence: float = 0.9) -> DataFrame:
-    z = {0.9: 1.645, 0.95: 1.96}[confidence]
+    z = round(NormalDist().inv_cdf((1 + confidence) / 2), 3)
     return df.withColumns({"lower": clipped(F.col(pred) - rmse * z), "upper": F.col(pred) + rmse * z})
 
 
@@ -291,24 +293,41 @@ def multi_horizon(df: DataFrame, horizons: tuple[int, ...] = (1, 7, 30), min_tra
 # ---- recursive forecast ------------------------------------------------------------
 
 HISTORY = 30
-STEP_COLS = ["lag_1", "lag_7", "lag_14", "lag_28", "mean_7", "mean_14", "mean_30", "dow", "month", "is_weekend"]
+_SPANS = (7, 14, 30)
+STEP_COLS = [*[f"lag_{n}" for n in (1, 7, 14, 28)], *[f"{f}_{n}" for n in _SPANS for f in ("mean", "std", "max", "min")], "ewm_7", "ewm_14",
+             "dow", "month", "quarter", "is_weekend", "is_month_start", "is_month_end", "dow_sin", "dow_cos", "month_sin", "month_cos"]
 
 
 def _step_features(df: DataFrame) -> DataFrame:
-    """Features of the next day from ``history`` (oldest first) and ``date``."""
+    """Features of the next day from ``history`` (oldest first, up to 30 days) and ``date``.
+
+    A lag the history does not reach is the mean of what there is; windows take the days they find.
+    """
     h = F.col("history")
-    at = lambda n: F.coalesce(F.try_element_at(h, F.lit(-n)), F.lit(0.0))
-    mean = lambda n: F.aggregate(F.slice(h, -n, n), F.lit(0.0), lambda s, x: s + x) / n
-    return df.withColumns({**{f"lag_{n}": at(n) for n in (1, 7, 14, 28)}, **{f"mean_{n}": mean(n) for n in (7, 14, 30)},
-                           "dow": F.weekday("date").cast("double"), "month": F.month("date").cast("double"),
-                           "is_weekend": (F.weekday("date") >= 5).cast("double")})
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean_of = lambda a: total(a) / F.size(a)
+    tail = lambda n: F.slice(h, F.greatest(F.size(h) - n + 1, F.lit(1)), F.lit(n))
+    spread = lambda a: F.sqrt(total(F.transform(a, lambda x: (x - mean_of(a)) * (x - mean_of(a)))) / F.greatest(F.size(a) - 1, F.lit(1)))
+    out = {f"lag_{n}": F.coalesce(F.try_element_at(h, F.lit(-n)), mean_of(h)) for n in (1, 7, 14, 28)}
+    for n in _SPANS:
+        out |= {f"mean_{n}": mean_of(tail(n)), f"std_{n}": spread(tail(n)), f"max_{n}": F.array_max(tail(n)), f"min_{n}": F.array_min(tail(n))}
+    for n in (7, 14):
+        r = 1 - 2.0 / (n + 1)
+        num = F.aggregate(h, F.lit(0.0), features.decayed(r))
+        out[f"ewm_{n}"] = num * (1 - r) / (1 - F.pow(F.lit(r), F.size(h)))
+    dow, month = F.weekday("date").cast("double"), F.month("date").cast("double")
+    out |= {"dow": dow, "month": month, "quarter": F.quarter("date").cast("double"), "is_weekend": (dow >= 5).cast("double"),
+            "is_month_start": (F.dayofmonth("date") == 1).cast("double"), "is_month_end": (F.last_day("date") == F.col("date")).cast("double"),
+            "dow_sin": F.sin(dow * 2 * math.pi / 7), "dow_cos": F.cos(dow * 2 * math.pi / 7),
+            "month_sin": F.sin(month * 2 * math.pi / 12), "month_cos": F.cos(month * 2 * math.pi / 12)}
+    return df.withColumns(out)
 
 
 def history_rows(df: DataFrame) -> DataFrame:
-    """Every day with the array of the 30 days before it."""
+    """Every day but a series' first with the array of the up to 30 days before it."""
     w = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-HISTORY, -1)
     return df.select(*SERIES, "date", F.col(TARGET).cast("double").alias(TARGET)).withColumn(
-        "history", F.collect_list(TARGET).over(w)).where(F.size("history") == HISTORY)
+        "history", F.collect_list(TARGET).over(w)).where(F.size("history") > 0)
 
 
 def recursive_forecast(df: DataFrame, days: int, **params) -> DataFrame:
@@ -320,13 +339,14 @@ def recursive_forecast(df: DataFrame, days: int, **params) -> DataFrame:
     model = fit_gbt(train, STEP_COLS, **params)
     w = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-(HISTORY - 1), 0)
     last = df.select(*SERIES, "date", F.col(TARGET).cast("double").alias(TARGET)).withColumn("history", F.collect_list(TARGET).over(w))
-    state = last.groupBy(*SERIES).agg(F.max_by("history", "date").alias("history"), F.max("date").alias("date")).where(F.size("history") == HISTORY)
+    state = last.groupBy(*SERIES).agg(F.max_by("history", "date").alias("history"), F.max("date").alias("date")).where(F.size("history") > 0)
     out = []
     for _ in range(days):
         step = predict(model, _step_features(state.withColumn("date", F.date_add("date", 1))), "predicted")
         step = materialise(step.select(*SERIES, "date", "history", "predicted"))
         out.append(step.select(*SERIES, "date", "predicted"))
-        state = step.select(*SERIES, "date", F.slice(F.concat("history", F.array("predicted")), -HISTORY, HISTORY).alias("history"))
+        state = step.select(*SERIES, "date", F.concat("history", F.array("predicted")).alias("history"))
+        state = state.withColumn("history", F.slice("history", F.greatest(F.size("history") - HISTORY + 1, F.lit(1)), F.lit(HISTORY)))
     return _union(out)
 
 

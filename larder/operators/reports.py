@@ -151,8 +151,15 @@ def feature_correlations(df: DataFrame, target: str, columns: list[str]) -> Data
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in columns])).alias("x")).select("x.*")
 
 
-def dq_summary(df: DataFrame, key: str, date_col: str, status_col: str, columns: list[str]) -> DataFrame:
-    """Date range, duplicate ids, distinct statuses and NULL count per column."""
+def sample_rows(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
+    """A share of the rows chosen by a hash of their key: the same rows however the table is partitioned."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *keys)), 1, 8), 16, 10).cast("long")
+    return df.where(h % 10000 < round(share * 10000))
+
+
+def dq_summary(df: DataFrame, key: str, date_col: str, status_col: str, columns: list[str] | None = None) -> DataFrame:
+    """Date range, duplicate ids, distinct statuses and NULL count of every column (or of ``columns``)."""
+    columns = columns or df.columns
     one = df.agg(
         F.count(F.lit(1)).alias("rows"), (F.count(key) - F.countDistinct(key)).alias("duplicate_ids"),
         F.to_date(F.min(date_col)).alias("first_date"), F.to_date(F.max(date_col)).alias("last_date"),

@@ -22,8 +22,10 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
 
 
-def _batches(queries: DataFrame, batches: int) -> list[Column]:
-    """The queries as arrays for scalar subqueries; a larger batch than the bound is refused."""
+def _batches(queries: DataFrame, batches: int | None) -> list[Column]:
+    """The queries as arrays for scalar subqueries, of about half MAX_QUERIES each unless told otherwise."""
+    if batches is None:
+        batches = max(1, -(-queries.count() * 2 // MAX_QUERIES))
     out = []
     for b in range(batches):
         part = queries if batches == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == b)
@@ -35,7 +37,7 @@ def _batches(queries: DataFrame, batches: int) -> list[Column]:
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int, score: str = "cosine", threshold: float | None = None,
-           filter_col: str | None = None, batches: int = 1) -> DataFrame:
+           filter_col: str | None = None, batches: int | None = None) -> DataFrame:
     """Best k rows per query. ``queries``: query_id, vector and, with ``filter_col``, wanted.
 
     Each corpus row scores the small query array where it lies; only hits leave

@@ -28,7 +28,7 @@ def _(spark, sf):
 
 
 @query("date_grid", Q("daily", "kept AS (SELECT place_id, item_id FROM (SELECT place_id, item_id, ROW_NUMBER() OVER "
-       "(PARTITION BY place_id ORDER BY SUM(quantity_sold) DESC, item_id) AS r FROM daily GROUP BY place_id, item_id) WHERE r <= 3)",
+       "(PARTITION BY place_id ORDER BY SUM(quantity_sold) DESC, item_id) AS r FROM daily GROUP BY place_id, item_id) WHERE r <= 50)",
        "d AS (SELECT * FROM daily SEMI JOIN kept USING (place_id, item_id))",
        "b AS (SELECT MIN(date) AS lo, MAX(date) AS hi FROM d)",
        "g AS (SELECT CAST(x AS DATE) AS date FROM b, UNNEST(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS t(x))",
@@ -36,7 +36,7 @@ def _(spark, sf):
   COALESCE(d.revenue, 0) AS revenue, COALESCE(d.order_count, 0) AS order_count
 FROM kept CROSS JOIN g LEFT JOIN d USING (date, place_id, item_id)"""))
 def _(spark, sf):
-    return frames.grid(spark, sf, top_n=3)
+    return frames.grid(spark, sf, top_n=50)
 
 
 @query("series_reindex", Q("daily_nb", """spans AS (SELECT place_id, item_id, MIN(date) AS lo, MAX(date) AS hi
@@ -130,23 +130,16 @@ def _(spark, sf):
 
 
 def _ewm_sql(span):
-    # weights below 1e-12 are left out on both sides
-    import math
-    a = 2.0 / (span + 1)
-    n = math.ceil(math.log(1e-12) / math.log(1 - a))
-    frame = f"OVER ({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-    r = repr(1 - a)
-    acc = (f"list_reduce(list_prepend({{'x': 0.0::DOUBLE, 'num': 0.0::DOUBLE, 'den': 0.0::DOUBLE}}, "
-           f"list_transform(LIST(quantity_sold) {frame}, lambda q: {{'x': q::DOUBLE, 'num': 0.0::DOUBLE, 'den': 0.0::DOUBLE}})), "
-           f"lambda s, q: {{'x': 0.0::DOUBLE, 'num': s.num * {r}::DOUBLE + q.x, 'den': s.den * {r}::DOUBLE + 1.0::DOUBLE}})")
-    return f"ROUND(CASE WHEN ({acc}).den = 0 THEN NULL ELSE ({acc}).num / ({acc}).den END, 6) AS ewm_{span}d"
+    r = repr(1 - 2.0 / (span + 1))
+    return f"ROUND(SUM(b.q * POW({r}::DOUBLE, a.n - b.n - 1)) / SUM(POW({r}::DOUBLE, a.n - b.n - 1)), 6) AS ewm_{span}d"
 
 
-@query("ewm_features", Q("daily bounds series days grid", """recent AS (SELECT * FROM grid)""",
-       f"SELECT date, place_id, item_id, {', '.join(_ewm_sql(s) for s in (7, 14))} FROM recent"))
+@query("ewm_features", Q("grid", "num AS (SELECT date, place_id, item_id, quantity_sold::DOUBLE AS q, ROW_NUMBER() OVER (PARTITION BY place_id, item_id ORDER BY date) AS n FROM grid)",
+       f"""SELECT a.date, a.place_id, a.item_id, {', '.join(_ewm_sql(s) for s in (7, 14, 30))}
+FROM num a LEFT JOIN num b ON a.place_id = b.place_id AND a.item_id = b.item_id AND b.n < a.n GROUP BY ALL"""))
 def _(spark, sf):
-    return features.ewm_features(frames.grid(spark, sf), spans=(7, 14)).select(
-        *KEYS, rnd("ewm_7d").alias("ewm_7d"), rnd("ewm_14d").alias("ewm_14d"))
+    return features.ewm_features(frames.grid(spark, sf), spans=(7, 14, 30)).select(
+        *KEYS, *[rnd(f"ewm_{s}d").alias(f"ewm_{s}d") for s in (7, 14, 30)])
 
 
 @query("item_lag_features", Q("grid", "SELECT date, place_id, item_id, " + ", ".join(
@@ -169,23 +162,23 @@ def _(spark, sf):
 _DELTA = f"deltas AS (SELECT *, quantity_sold - COALESCE(LAG(quantity_sold) OVER ({_W}), 0) AS delta FROM grid)"
 
 
-@query("delta_sequences", Q("grid", _DELTA, f"""seqs AS (SELECT date, place_id, item_id, LIST(delta) OVER ({_W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS seq,
+@query("delta_sequences", Q("grid", _DELTA, f"""seqs AS (SELECT date, place_id, item_id, LIST(delta) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS seq,
   LEAD(delta, 1) OVER ({_W}) AS target FROM deltas)""",
-  """SELECT date, place_id, item_id, array_to_string(list_transform(seq, lambda x: CAST(x AS BIGINT)), ',') AS seq, target FROM seqs WHERE len(seq) = 14 AND target IS NOT NULL"""))
+  """SELECT date, place_id, item_id, array_to_string(list_transform(seq, lambda x: CAST(x AS BIGINT)), ',') AS seq, target FROM seqs WHERE len(seq) = 60 AND target IS NOT NULL"""))
 def _(spark, sf):
-    out = features.delta_sequences(features.demand_deltas(frames.grid(spark, sf)), 14)
+    out = features.delta_sequences(features.demand_deltas(frames.grid(spark, sf)), 60)
     return out.select(*KEYS, F.array_join(F.transform("seq", lambda x: x.cast("long")), ",").alias("seq"), "target")
 
 
 @query("pad_sequences", Q("grid", _DELTA, f"""seqs AS (SELECT date, place_id, item_id,
-  LIST(delta) OVER ({_W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS seq FROM deltas)""",
-  """SELECT date, place_id, item_id, array_to_string(list_transform(list_concat(list_resize(CAST([] AS DOUBLE[]), greatest(14 - len(seq), 0), 0.0),
-  seq[greatest(len(seq) - 13, 1):]), lambda x: CAST(x AS BIGINT)), ',') AS padded FROM seqs"""))
+  LIST(delta) OVER ({_W} ROWS BETWEEN 79 PRECEDING AND CURRENT ROW) AS seq FROM deltas)""",
+  """SELECT date, place_id, item_id, array_to_string(list_transform(list_concat(list_resize(CAST([] AS DOUBLE[]), greatest(60 - len(seq), 0), 0.0),
+  seq[greatest(len(seq) - 59, 1):]), lambda x: CAST(x AS BIGINT)), ',') AS padded FROM seqs"""))
 def _(spark, sf):
     from larder.functions.exprs import series_window
     d = features.demand_deltas(frames.grid(spark, sf))
-    seq = F.collect_list("delta").over(series_window(demand.SERIES, "date", -20, 0))
-    padded = features.pad_sequence(F.col("seq"), 14)
+    seq = F.collect_list("delta").over(series_window(demand.SERIES, "date", -79, 0))
+    padded = features.pad_sequence(F.col("seq"), 60)
     return d.withColumn("seq", seq).select(
         *KEYS, F.array_join(F.transform(padded, lambda x: x.cast("long")), ",").alias("padded"))
 
@@ -252,7 +245,7 @@ def _(spark, sf):
 _HIST = ("d AS (SELECT title AS item_name, date, SUM(quantity) AS quantity_sold FROM sales GROUP BY ALL)",
          """st AS (SELECT item_name, SUM(quantity_sold) / COUNT(*) AS av, COUNT(*) AS n, SUM(quantity_sold) AS tot,
   MIN(quantity_sold) AS mn, MAX(quantity_sold) AS mx,
-  CASE WHEN COUNT(*) > 1 THEN SQRT(GREATEST((SUM(quantity_sold * quantity_sold) - SUM(quantity_sold) * SUM(quantity_sold) / COUNT(*)) / (COUNT(*) - 1), 0)) END AS sd
+  ROUND(STDDEV_SAMP(quantity_sold), 9) AS sd
 FROM {src} GROUP BY item_name)""")
 PERISHABLE = ["ring", "bolt"]
 _PERISH_SQL = "(" + " OR ".join(f"LOWER(item_name) LIKE '%{w}%'" for w in PERISHABLE) + ")"
@@ -392,10 +385,11 @@ def _(spark, sf):
 @query("business_summary", Q("pred", _LONG, _PER_MODEL, "b AS (SELECT * FROM per ORDER BY total_cost_dkk, model LIMIT 1)",
        "w AS (SELECT * FROM per ORDER BY total_cost_dkk DESC, model DESC LIMIT 1)",
        """SELECT b.model AS best_model, w.model AS worst_model, b.forecast_accuracy_pct AS best_forecast_accuracy, b.wmape AS best_wmape,
-  (w.waste_cost_dkk - b.waste_cost_dkk) * (365::DOUBLE / 90) AS annual_waste_reduction_dkk,
-  (w.stockout_cost_dkk - b.stockout_cost_dkk) * (365::DOUBLE / 90) AS annual_stockout_reduction_dkk,
-  (w.total_cost_dkk - b.total_cost_dkk) * (365::DOUBLE / 90) AS annual_total_savings_dkk,
+  (w.waste_cost_dkk - b.waste_cost_dkk) * (365::DOUBLE / days) AS annual_waste_reduction_dkk,
+  (w.stockout_cost_dkk - b.stockout_cost_dkk) * (365::DOUBLE / days) AS annual_stockout_reduction_dkk,
+  (w.total_cost_dkk - b.total_cost_dkk) * (365::DOUBLE / days) AS annual_total_savings_dkk,
   (1 - b.waste_cost_dkk / GREATEST(w.waste_cost_dkk, 1)) * 100 AS waste_reduction_pct,
-  (1 - b.stockout_cost_dkk / GREATEST(w.stockout_cost_dkk, 1)) * 100 AS stockout_reduction_pct FROM b, w"""))
+  (1 - b.stockout_cost_dkk / GREATEST(w.stockout_cost_dkk, 1)) * 100 AS stockout_reduction_pct FROM b, w, (SELECT COUNT(DISTINCT date) AS days FROM pred)"""))
 def _(spark, sf):
-    return metrics.business_summary(metrics.compare_models(frames.predictions(spark, sf), MODELS), 90)
+    p = frames.predictions(spark, sf)
+    return metrics.business_summary(metrics.compare_models(p, MODELS), p.agg(F.countDistinct("date")).scalar())

@@ -113,9 +113,9 @@ def _(spark, sf):
 
 
 @query("recent_revenue", f"""SELECT user_id, COUNT(*) AS orders, {S('o_totalprice', 2)} AS recent_revenue FROM (SELECT o_custkey AS user_id, o_totalprice,
-  ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 5 GROUP BY user_id""")
+  ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 30 GROUP BY user_id""")
 def _(spark, sf):
-    return reports.recent_revenue(_orders(spark, sf), "user_id", 5)
+    return reports.recent_revenue(_orders(spark, sf), "user_id", 30)
 
 
 @query("category_counts", "SELECT COALESCE(NULLIF(p_type, 'LARGE'), 'OTHER') AS category, COUNT(*) AS n FROM part GROUP BY 1")
@@ -262,9 +262,11 @@ def _(spark, sf):
         for table, c, m in (("orders", "o_totalprice", 0.2), ("lineitem", "l_quantity", 0.25), ("lineitem", "l_extendedprice", 3.0))])
 
 
-@query("sample_rows")
+@query("sample_rows", """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+WHERE CAST('0x' || substr(md5('42-' || l_orderkey || '-' || l_linenumber), 1, 8) AS BIGINT) % 10000 < 200""")
 def _(spark, sf):
-    return bindings.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").sample(0.02, seed=42)
+    return reports.sample_rows(bindings.read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 0.02, 42).select(
+        "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("seasonality_counts", """SELECT 'weekday' AS kind, ISODOW(o_orderdate) - 1 AS bucket, COUNT(*) AS orders FROM orders GROUP BY 2
@@ -275,12 +277,16 @@ def _(spark, sf):
     return by("weekday", F.weekday("date")).unionByName(by("month", F.month("date")))
 
 
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate", "d"]
+
+
 @query("dq_summary", """SELECT COUNT(*) AS rows, COUNT(l_orderkey) - COUNT(DISTINCT l_orderkey) AS duplicate_ids, CAST(MIN(l_shipdate) AS DATE) AS first_date,
-  CAST(MAX(l_shipdate) AS DATE) AS last_date, COUNT(DISTINCT l_returnflag) AS statuses, COUNT(*) FILTER (l_partkey IS NULL) AS l_partkey_nulls,
-  COUNT(*) FILTER (d IS NULL) AS d_nulls FROM (SELECT *, NULLIF(l_discount, 0.05) AS d FROM lineitem)""")
+  CAST(MAX(l_shipdate) AS DATE) AS last_date, COUNT(DISTINCT l_returnflag) AS statuses, """ + ", ".join(
+    f"COUNT(*) FILTER ({c} IS NULL) AS {c}_nulls" for c in _LINE_COLUMNS) + " FROM (SELECT *, NULLIF(l_discount, 0.05) AS d FROM lineitem)")
 def _(spark, sf):
     l = bindings.read(spark, sf, "lineitem").withColumn("d", F.nullif(F.col("l_discount"), F.lit(0.05)))
-    return reports.dq_summary(l, "l_orderkey", "l_shipdate", "l_returnflag", ["l_partkey", "d"])
+    return reports.dq_summary(l, "l_orderkey", "l_shipdate", "l_returnflag")
 
 
 _CORR = ["demand_lag_1d", "demand_lag_7d", "demand_lag_28d", "rolling_mean_7d", "rolling_mean_30d", "rolling_std_14d", "expanding_mean"]
@@ -293,7 +299,7 @@ def _(spark, sf):
 
 @query("describe_table")
 def _(spark, sf):
-    return bindings.read(spark, sf, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority").summary()
+    return bindings.read(spark, sf, "orders").summary()
 
 
 @query("eligible_items", Q("sales", _HIST[0], "SELECT item_name, SUM(quantity_sold) AS total_demand, COUNT(DISTINCT date) AS active_days FROM d GROUP BY 1 HAVING SUM(quantity_sold) >= 6000 AND COUNT(DISTINCT date) >= 200"))

@@ -34,5 +34,5 @@ def _(spark, sf):
     e = live.file_stream(spark, sf, "events.parquet", schema)
     qty = (F.when(F.col("event_type") == "purchase", F.ceil("value")).when(F.col("event_type") == "signup", 0)
            .when(F.col("event_type") == "view", -F.floor(F.col("value") / 5)).otherwise(-F.floor(F.col("value") / 2)))
-    adj = e.select(F.col("user_id").alias("ingredient_id"), (F.col("event_id") % 2).alias("location_id"), "event_id", qty.cast("double").alias("quantity"))
+    adj = e.select(F.col("user_id").alias("ingredient_id"), (F.col("event_id") % 2).alias("location_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), qty.cast("double").alias("quantity"))
     return live.drain(spark, live.stock_stream(adj), "append")

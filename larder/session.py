@@ -48,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is not installed."""
+    import shutil
+
+    import larder
+    root = os.path.dirname(os.path.dirname(os.path.abspath(larder.__file__)))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="larder-ship-"), "larder"), "zip", root, "larder")
+    spark.sparkContext.addPyFile(made)  # the driver serves it; executors fetch their own copy
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that survives executor loss."""
     shared_dir(df.sparkSession)

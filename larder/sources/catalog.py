@@ -132,12 +132,21 @@ def register_directory(spark: SparkSession, root: str, names: list[str], fmt: st
 
 
 _READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
+#: Nodes of a parsed plan that change something.
+_WRITES = re.compile(r"^[\s:+|-]*'?(Insert|Create|Replace|Drop|Truncate|Delete|Update|Merge|Alter|Overwrite|Append|Load|Set|Cache|Uncache|Refresh|\w+Command)\w*\b", re.MULTILINE)
 
 
 def adhoc_sql(spark: SparkSession, sql: str, cap: int = 100) -> DataFrame:
-    """Run a SELECT or WITH statement, capped; everything else is refused."""
+    """Run a SELECT or WITH statement, capped; everything else is refused before it runs.
+
+    The keyword test comes first. Then the parsed statement is searched for writes and commands, which
+    can follow a WITH; parsing neither resolves nor runs it.
+    """
     if not _READ_ONLY.match(sql):
         raise ValueError("only SELECT and WITH statements are allowed")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    if _WRITES.search(plan):
+        raise ValueError("the statement writes or is a command")
     return spark.sql(sql).limit(cap)
 
 

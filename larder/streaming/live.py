@@ -19,7 +19,8 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
 
 
 def day_summary(events: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Counts, completed, open and revenue per day; state older than the lateness is dropped."""
+    """Counts, completed, open and revenue per day. In update or append mode state older than the
+    lateness is dropped; complete mode keeps a row per day, which is what the result holds anyway."""
     t, v = F.col("event_type"), F.col("value").cast("decimal(28,6)")
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(
         F.window("ts", "1 day")).agg(
@@ -65,21 +66,25 @@ LEDGER_OUT = "ingredient_id long, location_id long, event_id long, quantity doub
 
 def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     balance = state.get[0] if state.exists else 0.0
-    for pdf in batches:
-        before, after, ok = [], [], []
-        for x in pdf["quantity"].to_numpy(dtype=float):
-            before.append(balance)
-            good = balance + x >= 0
-            balance = balance + x if good else balance
-            after.append(balance)
-            ok.append(good)
-        yield pdf[["ingredient_id", "location_id", "event_id", "quantity"]].assign(
-            quantity_before=before, quantity_after=after, accepted=ok)
+    # files of one trigger reach the key in shuffle order, so its steps are put into event order first
+    pdf = pd.concat(batches).sort_values(["ts", "event_id"], kind="stable")
+    before, after, ok = [], [], []
+    for x in pdf["quantity"].to_numpy(dtype=float):
+        before.append(balance)
+        good = balance + x >= 0
+        balance = balance + x if good else balance
+        after.append(balance)
+        ok.append(good)
+    yield pdf[["ingredient_id", "location_id", "event_id", "quantity"]].assign(
+        quantity_before=before, quantity_after=after, accepted=ok)
     state.update((balance,))
 
 
 def stock_stream(adjustments: DataFrame) -> DataFrame:
-    """Running stock per ingredient and location in arrival order, as the row lock orders it; steps below 0 are rejected."""
-    rows = adjustments.select("ingredient_id", "location_id", "event_id", "quantity")
+    """Running stock per ingredient and location; steps below 0 are rejected.
+
+    Steps of one trigger are taken by (ts, event_id), triggers in the order they arrive, as the row lock orders them.
+    """
+    rows = adjustments.select("ingredient_id", "location_id", "event_id", "ts", "quantity")
     return rows.groupBy("ingredient_id", "location_id").applyInPandasWithState(
         _apply, LEDGER_OUT, "balance double", "append", GroupStateTimeout.NoTimeout)
