@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder.session import scratch_path
@@ -33,9 +31,15 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fresh(name: str) -> str:
-    """A column name that no input column can have."""
-    return f"_{name}_{uuid.uuid4().hex[:8]}"
+BROADCAST_ROWS = 1 << 20
+
+
+def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Narrow keys, marked for broadcast when counted to be at most ``rows``; beyond that joins shuffle as usual.
+
+    Filtering texts by a short list of ids then leaves the texts where they lie.
+    """
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
 
 
 def rows_per_batch(spark: SparkSession, rows: int = 512):

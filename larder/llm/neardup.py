@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from larder.llm import tokens
-from larder.llm.common import rows_per_batch, written
+from larder.llm.common import broadcast_if_small, rows_per_batch, written
 from larder.llm.components import components
 from larder.llm.tokens import U, mix
 
@@ -197,8 +197,8 @@ def _by_blocks(left: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     group = components(left.select(F.col("centre").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "g")
     members = written(left.select("id", "component").distinct().join(group, "id").join(classes.select("id", "n"), "id"), "members")
     blocks = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(docs, "id").withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = members.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("n")
+    dealt = docs.join(broadcast_if_small(placed), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("id", "component", "text", "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).groupBy(
         "g", "i", "j").applyInArrow(_links(width, percent), pair)
 
@@ -235,7 +235,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         p = p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         close = written(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_near(symbols, most), pair), "close")
         wanted = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-        texts = written(docs.join(wanted, "id", "left_semi"), "texts")
+        texts = written(docs.join(broadcast_if_small(wanted), "id", "left_semi"), "texts")
         full = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return written(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), pair), "confirmed")
@@ -262,7 +262,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 
 def keep_one(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows of one document of each group, the smallest id; repeated rows of it stay once, rows without an id all."""
-    groups = near_duplicates(df, width, percent, id_col, text_col)
+    groups = near_duplicates(df, width, percent, id_col, text_col).select(F.col(f"`{id_col}`").alias(id_col), "kept")
+    groups = written(groups, "kept").where(F.col(f"`{id_col}`").isNotNull())
     gone = groups.where("NOT kept").select(id_col).distinct()
-    rest = df.join(gone, id_col, "left_anti").select(*df.columns)
-    return rest.where(F.col(f"`{id_col}`").isNull()).unionByName(rest.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]))
+    twice = groups.where("kept").groupBy(id_col).count().where("count > 1").select(id_col)
+    single = df.join(broadcast_if_small(gone.unionByName(twice)), id_col, "left_anti")
+    once = df.join(broadcast_if_small(twice), id_col, "left_semi").dropDuplicates([id_col])
+    return single.select(*df.columns).unionByName(once.select(*df.columns))
