@@ -61,7 +61,10 @@ def near(spark, rows, **kw):
     return {(r["doc_id"]): (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, rows), **kw).collect()}
 
 
-def test_near_duplicates_match_all_pairs(spark):
+@pytest.mark.parametrize("small,block", [(neardup.SMALL, neardup.BLOCK_SHINGLES), (2, 400)])
+def test_near_duplicates_match_all_pairs(spark, monkeypatch, small, block):
+    monkeypatch.setattr(neardup, "SMALL", small)  # also every open bucket in blocks
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(4000)]
     rows, base = [], [[rng.choice(vocab) for _ in range(80)] for _ in range(6)]
