@@ -299,3 +299,60 @@ def _(spark, sf):
         F.min("o_orderkey").cast("string"), F.lit("||"), F.max("o_orderkey").cast("string"), F.lit("|")).alias("head"))
     ids = F.concat("head", F.when(F.col("o_custkey") % 3 == 0, "x").otherwise(""))
     return files.split_ids(o.select("o_custkey", ids.alias("ids")), "ids", "item_id").select("o_custkey", "item_id")
+
+
+# ---- row filters and lookups -----------------------------------------------------------
+
+@query("date_range", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice FROM orders
+WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'""")
+def _(spark, sf):
+    o = bindings.read(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), "o_totalprice")
+    return cleaning.filter_by_date_range(o, "1995-01-01", "1995-12-31")
+
+
+@query("active_suppliers", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0")
+def _(spark, sf):
+    s = bindings.read(spark, sf, "supplier").withColumn("ended", F.when(F.col("s_acctbal") < 0, F.lit("1998-01-01")))
+    return cleaning.filter_active(s, "ended").select("s_suppkey", "s_name")
+
+
+@query("customer_listing", """SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'""")
+def _(spark, sf):
+    c = bindings.read(spark, sf, "customer").withColumn("deleted_at", F.when(F.col("c_acctbal") < 0, F.lit("1998-01-01")))
+    return cleaning.listing(c, {"c_mktsegment": "BUILDING", "c_name": None}, "deleted_at", [F.desc("c_acctbal"), F.asc("c_custkey")]).select(
+        "c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("tagged_parts", """SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = 'Brand#3' OR p_type = 'PROMO'""")
+def _(spark, sf):
+    p = bindings.read(spark, sf, "part").withColumn("tags", F.array("p_brand", "p_type"))
+    return cleaning.has_tag(p, "tags", "Brand#3").unionByName(cleaning.has_tag(p, "tags", "PROMO")).dropDuplicates(["p_partkey"]).select(
+        "p_partkey", "p_brand", "p_type")
+
+
+@query("order_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def _(spark, sf):
+    return cleaning.lookup(bindings.read(spark, sf, "orders"), "o_orderkey", 77).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("email_check", """SELECT c_custkey, regexp_matches(mail, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS valid FROM (SELECT c_custkey,
+  CASE c_custkey % 4 WHEN 0 THEN c_name || '@example.com' WHEN 1 THEN c_name || '@example' WHEN 2 THEN c_name || ' x@example.com' ELSE c_name || '@a@b.c' END AS mail FROM customer)""")
+def _(spark, sf):
+    k = F.col("c_custkey") % 4
+    mail = F.concat("c_name", F.when(k == 0, "@example.com").when(k == 1, "@example").when(k == 2, " x@example.com").otherwise("@a@b.c"))
+    return bindings.read(spark, sf, "customer").select("c_custkey", cleaning.valid_email(mail).alias("valid"))
+
+
+@query("campaigns_clean", """SELECT p_partkey AS campaign_id, p_size AS start_date, p_retailprice AS end_date FROM part WHERE p_size > 5""")
+def _(spark, sf):
+    p = bindings.read(spark, sf, "part").select(
+        F.col("p_partkey").alias("campaign_id"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("start_date"), F.col("p_retailprice").alias("end_date"))
+    return cleaning.clean_campaigns(p.unionByName(p))
+
+
+@query("tables_cleaned", "SELECT 'customers' AS name, COUNT(*) AS n FROM customer UNION ALL SELECT 'suppliers', COUNT(*) FROM supplier")
+def _(spark, sf):
+    c, s = (bindings.read(spark, sf, t).select(F.col(k).alias("id")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey")))
+    out = cleaning.clean_all({"customers": c.unionByName(c), "suppliers": s})
+    count = lambda n: out[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n")
+    return count("customers").unionByName(count("suppliers"))
