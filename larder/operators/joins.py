@@ -136,7 +136,7 @@ def upsert(base: DataFrame, updates: DataFrame, on: list[str], order_by: str | N
     Of several updates of a key the largest ``order_by`` stays; without one, the row that is largest column by column.
     """
     rest = [c for c in updates.columns if c not in on]
-    last = F.struct(*([order_by] if order_by else []), *rest)
+    last = F.struct(*sorted(rest, key=lambda c: c != order_by))
     latest = updates.groupBy(*on).agg(F.max(last).alias("_last")).select(*on, *[F.col(f"_last.{c}").alias(c) for c in rest]) if rest else updates.distinct()
     return base.join(latest, on, "left_anti").unionByName(latest)
 

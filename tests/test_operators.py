@@ -252,3 +252,64 @@ def test_weekday_factors_fill_and_clamp(spark):
     f = baselines.weekday_factors(spark.createDataFrame(rows, "date date, item_id string, quantity_sold double")).collect()
     got = {r["dow"]: r["factor"] for r in f}
     assert len(f) == 7 and got[6] == 1.8 and got[0] == 0.5 and got[4] == 0.8
+
+
+def test_plain_units_with_parts_count_once(spark):
+    dem = spark.createDataFrame([("Soup", 10.0)], "item_name string, demand double")
+    prods = spark.createDataFrame([(1, "soup")], "id long, title string")
+    skus = spark.createDataFrame([(11, 1, "normal", 5.0, 1.0), (12, None, "normal", 5.0, 1.0), (13, None, "normal", 5.0, 1.0)],
+                                 "id long, item_id long, type string, quantity double, low_stock_threshold double")
+    bom = spark.createDataFrame([(11, 12, 2.0), (11, 13, 3.0)], "parent_sku_id long, sku_id long, quantity double")
+    assert [(r["sku_id"], r["demand"]) for r in inventory.ingredient_drivers(dem, prods, skus, bom).collect()] == [(11, 10.0)]
+    through = inventory.ingredient_drivers(dem, prods, skus.withColumn("type", F.lit("composite")), bom)
+    assert {r["sku_id"]: r["demand"] for r in through.collect()} == {12: 20.0, 13: 30.0}
+
+
+def test_sql_guard_sees_writes_after_with(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("guarded")
+    for bad in (f"WITH a AS (SELECT 1L AS id) INSERT INTO parquet.`{path}` SELECT * FROM a", "WITH a AS (SELECT 1 AS x) INSERT INTO guarded SELECT * FROM a",
+                "WITH a AS (SELECT 1 AS x) FROM a INSERT INTO guarded SELECT x"):
+        with pytest.raises(ValueError):
+            catalog.adhoc_sql(spark, bad)
+    assert spark.read.parquet(path).count() == 1
+    assert catalog.adhoc_sql(spark, "WITH Insert_like AS (SELECT 'insert into t' AS x) SELECT x FROM Insert_like").count() == 1
+
+
+def test_upsert_keeps_one_row_per_key(spark):
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, v string, at int")
+    new = spark.createDataFrame([(1, "x", 5), (1, "y", 4), (3, "z", 1)], "id long, v string, at int")
+    assert {r["id"]: r["v"] for r in joins.upsert(base, new, ["id"], "at").collect()} == {1: "x", 2: "b", 3: "z"}
+    assert joins.upsert(base, new, ["id"]).count() == 3
+
+
+def test_weighted_means_reach_back_to_the_first_row(spark):
+    rows = [(D0 + dt.timedelta(days=i), 1, 1, 1e15 if i == 0 else 0.0) for i in range(400)]
+    out = features.ewm_features(spark.createDataFrame(rows, "date date, place_id long, item_id long, quantity_sold double"), spans=(7,))
+    got = {r["date"]: r["ewm_7d"] for r in out.collect()}
+    want = pd.Series([r[3] for r in rows]).ewm(span=7, adjust=True).mean()
+    assert got[D0] is None
+    assert all(got[rows[i][0]] == pytest.approx(want[i - 1], rel=1e-9) for i in (1, 2, 127, 128, 129, 150, 300, 399))
+
+
+def test_short_series_are_forecast(spark):
+    from larder.operators import ml
+    rows = [(D0 + dt.timedelta(days=i), 1, k, float(3 + i % 7)) for k, n in ((1, 60), (2, 5), (3, 1)) for i in range(n)]
+    got = ml.recursive_forecast(spark.createDataFrame(rows, "date date, place_id long, item_id long, quantity_sold double"), 2, maxIter=2, maxDepth=2)
+    assert sorted((r["item_id"], r["n"]) for r in got.groupBy("item_id").agg(F.count("predicted").alias("n")).collect()) == [(1, 2), (2, 2), (3, 2)]
+
+
+def test_stream_ledger_over_many_files(spark, tmp_path):
+    from larder.streaming import live
+    rng = random.Random(3)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i, i % 5, 0, float(rng.randrange(-6, 8))) for i in range(400)]
+    df = spark.createDataFrame(rows, "ts timestamp, event_id long, ingredient_id long, location_id long, quantity double")
+    df.repartition(8, F.xxhash64("event_id")).write.parquet(str(tmp_path / "e"))
+    got = live.drain(spark, live.stock_stream(live.file_stream(spark, str(tmp_path / "e"), "*.parquet", df.schema)), "append")
+    balance, want = {}, {}
+    for _, e, k, _, q in rows:
+        b = balance.get(k, 0.0)
+        balance[k] = b + q if b + q >= 0 else b
+        want[e] = (b, balance[k])
+    assert {r["event_id"]: (r["quantity_before"], r["quantity_after"]) for r in got.collect()} == want
