@@ -14,7 +14,7 @@ import time
 
 from larder import plans  # noqa: F401 - fills the registry
 from larder.plans import frames, registry
-from larder.session import local_session
+from larder.session import clean_scratch, local_session
 
 HEADLINE = [
     "daily_demand", "daily_sales", "topn_per_store", "date_grid", "feature_matrix", "rolling_minmax", "ewm_features",
@@ -41,6 +41,7 @@ def main() -> None:
         t = time.time()
         run(registry.QUERIES[k](spark, sf))
         times[k] = round(time.time() - t, 3)
+        clean_scratch(spark)
     out = {"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
            "sf": os.path.basename(sf.rstrip("/")), "cpus": int(cpus)}
     if os.environ.get("BENCH_COMPARE"):

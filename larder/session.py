@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: list[str] = []
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Session for tests and bench.py; a cluster job brings its own session."""
     spark = (
@@ -66,4 +69,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder for a written table."""
-    return os.path.join(shared_dir(spark), f"larder-{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"larder-{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has named; frames that read them end with it. Returns how many there were."""
+    n, jvm = 0, spark._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

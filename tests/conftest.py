@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from larder.session import local_session  # noqa: E402
+from larder.session import clean_scratch, local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     s = local_session(shuffle_partitions=4, memory="6g")
     yield s
+    clean_scratch(s)
     s.stop()
 
 
