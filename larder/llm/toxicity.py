@@ -72,7 +72,7 @@ def _neighbours(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of word beginnings and how many different words come before each."""
     pairs, own = [], []
     for g, before, _ in _beginnings(texts):
-        u, at = np.unique(mix(g ^ mix(before)), return_index=True)
+        u, at = np.unique(mix(g * U(3) + mix(before)), return_index=True)
         pairs.append(u)
         own.append(g[at])
     if not pairs:
