@@ -20,7 +20,7 @@ from larder.functions.exprs import clipped, exact_sum, finite, rnd, rnd_even
 from larder.operators import baselines, features, metrics
 from larder.operators.demand import SERIES
 from larder.operators.scalars import label_encode
-from larder.session import materialise
+from larder.session import materialise, shared_dir
 
 PARALLEL_FITS = 4
 
@@ -68,6 +68,7 @@ def _filled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fit_gbt(train: DataFrame, cols: list[str] | None = None, target: str = TARGET, **params) -> PipelineModel:
     cols = cols or used_features(train)
+    shared_dir(train.sparkSession)  # the errors of every tenth tree are checkpointed there, else their lineage grows with each tree
     gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="_pred", **{**DEFAULTS, **params})
     assembler = VectorAssembler(inputCols=cols, outputCol="features")
     data = _filled(training_rows(train), cols).select(*cols, F.col(target).cast("double").alias(target))
@@ -396,11 +397,11 @@ def ensemble(latest: DataFrame, factors: DataFrame, days: int, models: list[str]
     """Median of the available models times the weekday factor, for the days after the data.
 
     ``latest``: one row per series with date, name, quantity_sold, rolling_std_14d and the
-    model columns; ``factors``: item_id, dow, factor.
+    model columns, hybrid and waste_opt among them; ``factors``: item_id, dow, factor.
     """
     std = F.coalesce("rolling_std_14d", F.lit(0.0))
     cv = F.when(F.col(TARGET) > 0, std / F.when(F.col(TARGET) > 0, F.col(TARGET))).otherwise(0.0)
-    base = latest.withColumns({"_e": median_of(models), "_w": F.col("waste_model"), "_b": F.col("gbt"), "demand_cv": cv,
+    base = latest.withColumns({"_e": median_of(models), "_w": F.col("waste_opt"), "_b": F.col("hybrid"), "demand_cv": cv,
                                "safety_stock_units": std * 1.65})
     future = base.withColumn("day", F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", days), F.expr("interval 1 day")))).withColumn(
         "dow", F.weekday("day"))

@@ -1,8 +1,9 @@
-"""Model training, validation and forecast queries. Tree counts are kept small here;
-the library defaults are those of a full training run."""
+"""Model training, validation and forecast queries, all with the parameters of a full training run (``ml.DEFAULTS``)."""
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import rnd
@@ -14,7 +15,7 @@ from larder.plans.registry import query
 from larder.plans.sqlbase import Q
 from larder.session import scratch_path
 
-SMALL = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3}
+TUNING = {"maxIter": (300, 500), "maxDepth": (4, 6, 8), "stepSize": (0.03, 0.05, 0.1)}
 KEYS = ["date", *SERIES]
 
 
@@ -27,7 +28,7 @@ def train_matrix(spark, sf):
 
 def scored_test(spark, sf):
     train, _, test = ml.parts(train_matrix(spark, sf))
-    return ml.blended(ml.predict(ml.fit_gbt(train, **SMALL), test))
+    return ml.blended(ml.predict(ml.fit_gbt(train), test))
 
 
 @query("time_split", Q("grid", "b AS (SELECT MIN(date) AS lo, MAX(date) AS hi FROM grid)", """SELECT split, COUNT(*) AS n, MIN(date) AS first_date, MAX(date) AS last_date FROM (SELECT date,
@@ -56,27 +57,27 @@ def _(spark, sf):
 @query("feature_importance")
 def _(spark, sf):
     train, _, _ = ml.parts(train_matrix(spark, sf))
-    return ml.feature_importance(ml.fit_gbt(train, **SMALL), spark)
+    return ml.feature_importance(ml.fit_gbt(train), spark)
 
 
 @query("model_comparison")
 def _(spark, sf):
-    return ml.model_comparison(train_matrix(spark, sf), **SMALL)
+    return ml.model_comparison(train_matrix(spark, sf))
 
 
 @query("cv_metrics")
 def _(spark, sf):
-    return ml.cv_metrics(train_matrix(spark, sf), 5, **{**SMALL, "maxIter": 3})
+    return ml.cv_metrics(train_matrix(spark, sf), 5)
 
 
 @query("walk_forward")
 def _(spark, sf):
-    return ml.walk_forward(train_matrix(spark, sf), 3, **{**SMALL, "maxIter": 3})
+    return ml.walk_forward(train_matrix(spark, sf), 3)
 
 
 @query("tune_gbt")
 def _(spark, sf):
-    grid = [{"maxIter": n, "maxDepth": d, "stepSize": s} for n in (2, 3) for d in (2, 3, 4) for s in (0.1, 0.3, 0.5)]
+    grid = [dict(zip(TUNING, p)) for p in product(*TUNING.values())]
     return ml.tune(train_matrix(spark, sf), grid)
 
 
@@ -85,18 +86,18 @@ def _(spark, sf):
     df = train_matrix(spark, sf)
     train, _, _ = ml.parts(df)
     cut = train.agg(F.max("date").alias("d")).scalar()
-    scored = ml.predict(ml.fit_gbt(train, **SMALL), df)
+    scored = ml.predict(ml.fit_gbt(train), df)
     return ml.residual_quantiles(scored, cut).where(F.col("date") > cut).select(*KEYS, "gbt", "q50", "q75", "q90")
 
 
 @query("item_holdout")
 def _(spark, sf):
-    return ml.item_holdout(train_matrix(spark, sf), 30, 60, **SMALL)
+    return ml.item_holdout(train_matrix(spark, sf), 30, 60)
 
 
 @query("multi_horizon")
 def _(spark, sf):
-    return ml.multi_horizon(train_matrix(spark, sf), (1, 7, 30), 60, **{**SMALL, "maxIter": 3})
+    return ml.multi_horizon(train_matrix(spark, sf), (1, 7, 30), 60)
 
 
 @query("fc_seasonal")
@@ -108,7 +109,7 @@ def _(spark, sf):
 
 @query("fc_recursive")
 def _(spark, sf):
-    return ml.recursive_forecast(frames.grid(spark, sf), 7, **SMALL)
+    return ml.recursive_forecast(frames.grid(spark, sf), 7)
 
 
 @query("fc_delta")
@@ -120,15 +121,16 @@ def _(spark, sf):
 def _(spark, sf):
     df = train_matrix(spark, sf)
     train, _, _ = ml.parts(df)
-    model = ml.fit_gbt(train, **SMALL)
+    model = ml.fit_gbt(train)
     cols = [c for c in df.columns if c not in KEYS]
     latest = features.latest_per_series(df, cols)
-    scored = ml.predict(model, latest).withColumn("waste_model", F.col("gbt") * 0.85)
+    scored = baselines.hybrid(baselines.moving_average(ml.predict(model, latest), 7, "ma7"), "gbt", "ma7")
+    scored = baselines.waste_optimised(scored)
     scored = scored.join(ml.delta_next(frames.grid(spark, sf), 60), SERIES, "left")
     factors = baselines.weekday_factors(frames.daily(spark, sf))
-    return ml.ensemble(scored, factors, 7, ["gbt", "waste_model", "delta_forecast"], PERISHABLE_WORDS["forecast"])
+    return ml.ensemble(scored, factors, 7, ["hybrid", "waste_opt", "delta_forecast"], PERISHABLE_WORDS["forecast"])
 
 
 @query("training_pipeline")
 def _(spark, sf):
-    return ml.training_pipeline(train_matrix(spark, sf), scratch_path(spark, "training"), spark, **SMALL)
+    return ml.training_pipeline(train_matrix(spark, sf), scratch_path(spark, "training"), spark)

@@ -120,3 +120,50 @@ def test_model_round_trip(spark, sf):
     back, info = ml.load_model(path, spark)
     assert info["features"] == ["day_of_week", "demand_lag_1d"] and info["mae"] == 1.0
     assert ml.predict(back, train).agg(F.sum("gbt")).first()[0] == pytest.approx(ml.predict(m, train).agg(F.sum("gbt")).first()[0])
+
+
+MODEL_QUERIES = ["fc_gbt", "fc_hybrid", "fc_waste_opt", "feature_importance", "model_comparison", "cv_metrics", "walk_forward", "fc_quantile", "item_holdout", "multi_horizon", "fc_recursive",
+                 "fc_ensemble", "training_pipeline"]
+
+
+@pytest.fixture
+def few_days(spark, sf, monkeypatch):
+    """The model queries see 200 days of one series instead of the feature matrix."""
+    from larder.plans import frames, p_models
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+    few = spark.range(200).select(F.lit(1).alias("place_id"), F.lit("a").alias("item_id"), day.alias("date"), (F.col("id") % 7).cast("double").alias("quantity_sold"), (F.col("id") % 7).cast("double").alias("demand_lag_1d"))
+    monkeypatch.setattr(p_models, "train_matrix", lambda *a: few)
+    monkeypatch.setattr(frames, "grid", lambda *a: few)
+
+
+@pytest.mark.parametrize("key", MODEL_QUERIES)
+def test_model_queries_fit_the_full_model(spark, sf, few_days, monkeypatch, key):
+    from larder.operators import ml
+
+    class Asked(Exception):
+        pass
+
+    def asked(**params):
+        raise Asked(params)
+
+    monkeypatch.setattr(ml, "GBTRegressor", asked)
+    with pytest.raises(Asked) as e:
+        Q[key](spark, sf)
+    got = e.value.args[0]
+    assert {k: got[k] for k in ml.DEFAULTS} == ml.DEFAULTS == {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5, "seed": 42, "featureSubsetStrategy": "0.8"}
+
+
+def test_tuning_grid(spark, sf, few_days, monkeypatch):
+    from larder.operators import ml
+    seen = []
+    monkeypatch.setattr(ml, "tune", lambda df, grid: seen.extend(grid) or df)
+    Q["tune_gbt"](spark, sf)
+    assert {tuple(g[k] for k in ("maxIter", "maxDepth", "stepSize")) for g in seen} == {(n, d, s) for n in (300, 500) for d in (4, 6, 8) for s in (0.03, 0.05, 0.1)} and len(seen) == 18
+
+
+def test_ensemble_votes_with_the_hybrid_and_the_waste_model(spark):
+    from larder.operators import ml
+    latest = spark.sql("SELECT 1 AS place_id, 'a' AS item_id, 'Soup' AS item_name, DATE '2024-01-01' AS date, 4.0 AS quantity_sold, 1.0 AS rolling_std_14d, 100.0 AS gbt, 10.0 AS hybrid, 8.0 AS waste_opt, CAST(NULL AS DOUBLE) AS delta_forecast")
+    factors = spark.sql("SELECT 'a' AS item_id, 1 AS dow, 2.0 AS factor")
+    r = ml.ensemble(latest, factors, 1, ["hybrid", "waste_opt", "delta_forecast"], ["salad"]).first()
+    assert (r["forecast_balanced"], r["forecast_waste_optimized"], r["forecast_stockout_optimized"]) == (18.0, 16.0, 24.0)
