@@ -25,3 +25,18 @@ def sorted_index(values: DataFrame, column: str, out: str) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
     return ranged.withColumn("_i", local).join(F.broadcast(shift), "_p").select(
         column, (F.col("_i") + F.col("_shift")).cast("long").alias(out))
+
+
+def sorted_positions(df: DataFrame, key: str, columns: list[str], out: str) -> DataFrame:
+    """Rows with their 0-based position among those of their key, sorted by ``columns``, which differ in each row of a key.
+
+    A key may span many ranges: positions are counted within each range and shifted by the key's rows in the ranges before.
+    """
+    ranged = materialise(df.repartitionByRange(key, *columns).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and range
+    shift = ranged.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(key).alias("_key"), F.col("_p").alias("_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    local = F.row_number().over(Window.partitionBy(key, "_p").orderBy(*columns)) - 1
+    return ranged.withColumn("_i", local).join(shift, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_p") == F.col("_range"))).withColumn(
+        out, F.col("_i") + F.col("_shift")).drop("_i", "_p", "_key", "_range", "_shift")

@@ -74,17 +74,18 @@ def nest_children(children: DataFrame, key: str, fields: list[str], out: str = "
                   rows: int = NEST_ROWS) -> DataFrame:
     """Sorted arrays of children per parent; equal children are one entry with ``copies``.
 
-    A parent with more than ``rows`` entries is spread over several arrays
-    (``chunk`` 0, 1, ...) by a hash of the entry, so no array and no task grows
-    with a hot parent, and a repeated task puts each entry into the same chunk.
+    ``chunk`` k holds the entries at sorted positions k * ``rows`` to (k + 1) * ``rows`` - 1 of its parent, so chunks put
+    together are in order. No array and no task grows with a hot parent: larger parents are ranked by range partitions.
     """
+    from larder.functions.ranks import sorted_positions
     entries = children.groupBy(key, *fields).agg(F.count(F.lit(1)).alias("copies"))
-    big = entries.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    chunks = big.select(key, F.ceil(F.col("_n") / rows).alias("_chunks"))
-    salted = entries.join(chunks, key, "left").withColumn(
-        "chunk", F.coalesce(F.pmod(F.xxhash64(*fields), F.col("_chunks")), F.lit(0)).cast("int"))
+    big = entries.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select(F.col(key).alias("_key"))
+    is_big = F.col(key).eqNullSafe(F.col("_key"))
+    small = entries.join(big, is_big, "left_anti").withColumn("chunk", F.lit(0))
+    large = sorted_positions(entries.join(big, is_big, "left_semi"), key, fields, "_at").withColumn(
+        "chunk", F.floor(F.col("_at") / rows).cast("int")).drop("_at")
     body = F.struct(*fields, "copies")
-    return salted.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(body)).alias(out))
+    return small.unionByName(large).groupBy(key, "chunk").agg(F.sort_array(F.collect_list(body)).alias(out))
 
 
 def child_counts(parents: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:

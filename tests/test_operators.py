@@ -154,6 +154,32 @@ def test_nested_children_split_a_big_parent(spark):
     assert len(big) > 5 and sum(x["copies"] for r in big for x in r["items"]) == 2400 and max(len(r["items"]) for r in big) < 400
 
 
+@pytest.mark.parametrize("parent", [1, None])
+def test_chunks_of_a_big_parent_are_in_order(spark, parent):
+    kids = spark.range(2500).select(F.lit(parent).cast("int").alias("p"), F.expr("nullif(id * 7919 % 2500, 9)").alias("v"), (F.col("id") % 2).alias("w"))
+    n = sorted(joins.nest_children(kids.repartition(5).union(kids.limit(1).withColumn("p", F.lit(2))), "p", ["v", "w"]).where("p IS NULL OR p <> 2").collect(), key=lambda r: r["chunk"])
+    assert [(r["chunk"], len(r["items"])) for r in n] == [(0, 1000), (1, 1000), (2, 500)]
+    assert [x["v"] for r in n for x in r["items"]] == [None, *[v for v in range(2500) if v != 9]]
+
+
+def test_chunks_of_big_parents_hold_what_the_sql_lists(spark, tmp_path):
+    import json
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    spark.range(2600).selectExpr("id * 37 % 2600 AS s_suppkey", "concat('S', id) AS s_name", "CASE WHEN id < 2500 THEN 1L ELSE 2L END AS s_nationkey", "id / 4 AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(3).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name", "0L AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for t in ("supplier", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {r[0]: json.loads(r[4]) if r[4] else None for r in con.execute(entry.oracle_sql()["nested_children"]).fetchall()}
+    got = {}
+    for r in sorted(entry.queries()["nested_children"](spark, str(tmp_path)).collect(), key=lambda r: r["chunk"] or 0):
+        got[r["n_nationkey"]] = got.get(r["n_nationkey"], []) + json.loads(r["suppliers"]) if r["suppliers"] else None
+    assert got == want and len(got[1]) == 2500 and got[0] is None
+
+
 def test_title_match_is_containment(spark):
     words = ["bur", "cheese", "ki", "zz", "e"]
     titles = ["Cheeseburger", "Milk", "Big Burrito", "kiwi", ""]
