@@ -206,3 +206,16 @@ def test_pages_without_landmarks(spark, group_pages):
     norm = lambda x: sorted((str(i), " ".join(t.split())) for i, t in x)
     assert norm(got) == norm(want)
     assert htmltext.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group_pages", [1, 2000])
+def test_copied_articles_and_short_blocks_are_kept(spark, group_pages):
+    shared = "these words come on every page of this host and mean nothing"
+    story = "a story of more than eight words that two pages of the host both carry in full"
+    own = lambda i: f"page {i} has words of its own: alpha{i} beta{i} gamma{i}"
+    copied = f"<h1>Summary</h1><p>{story}</p><p>So it ends.</p>"
+    rows = [(i, f"<body><nav>to page {i}</nav>{copied}</body>") for i in (1, 2, 3)]
+    rows += [(i, f"<body><h1>Summary</h1><p>{own(i)}</p><p>{shared}</p><p>Read on</p><p>More</p></body>") for i in (4, 5)]
+    df = spark.createDataFrame([(i, "https://h.example/", t) for i, t in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(df, group_pages=group_pages).collect()}
+    assert got == {i: f"Summary {story} So it ends." for i in (1, 2, 3)} | {i: f"Summary {own(i)}" for i in (4, 5)}
