@@ -52,7 +52,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """A bounded sample to fit a classifier on, and the number of labelled rows per class outside the held fold.
 
     Of each class at most ``rows`` rows of smallest hash and ``max_bytes`` of text, as (id, text, label, part); part is 0
-    or 1 by hash. Null and other labels are left out; an id labelled twice has its largest label.
+    or 1 by hash. A text that does not fit is left out, and of a class without a fitting text the shortest is taken. Null and other labels are left out; an id labelled twice has its largest label.
     """
     lab = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where(
         "label IN (0, 1) AND id IS NOT NULL").where(fold(F.col("id"), folds) != held_fold).groupBy("id").agg(F.max("label").alias("label"))
@@ -62,12 +62,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = {r["label"]: r["count"] for r in narrow.groupBy("label").count().collect()}
     chosen = []
     for k in sorted(known):
-        used = 0
-        for r in narrow.where(F.col("label") == k).orderBy("h", "id").limit(rows).collect():
-            used += r["size"] + 1
-            if used > max_bytes and chosen:
-                break
-            chosen.append((r["id"], r["h"], k))
+        used, mine = 0, narrow.where(F.col("label") == k)
+        fitting = mine.where(F.col("size") < max_bytes).orderBy("h", "id").limit(rows).collect()
+        for r in fitting or mine.orderBy("size", "h", "id").limit(1).collect():
+            if used + r["size"] + 1 <= max_bytes or not used:
+                used += r["size"] + 1
+                chosen.append((r["id"], r["h"], k))
     kind = narrow.schema["id"].dataType.simpleString()
     few = docs.sparkSession.createDataFrame(chosen, f"id {kind}, h long, label int")  # at most 2 * rows
     return keyed.join(F.broadcast(few), ["id", "h"]).select(

@@ -219,3 +219,15 @@ def test_copied_articles_and_short_blocks_are_kept(spark, group_pages):
     df = spark.createDataFrame([(i, "https://h.example/", t) for i, t in rows], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in htmltext.main_text(df, group_pages=group_pages).collect()}
     assert got == {i: f"Summary {story} So it ends." for i in (1, 2, 3)} | {i: f"Summary {own(i)}" for i in (4, 5)}
+
+
+def test_a_very_long_text_does_not_end_the_sample(spark):
+    from larder.llm.common import labelled_sample
+    rows = [(i, ("word " * (2000 if i < 6 else 3)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    few, known = labelled_sample(docs, labels, "doc_id", "text", "toxic", 10, 10, 60, 2000)
+    assert sorted(r["id"] for r in few.collect()) == list(range(6, 60)) and known == {0: 30, 1: 30}
+    long = docs.where("doc_id % 2 = 0 OR doc_id < 6")  # of class 1 only texts that do not fit
+    few, _ = labelled_sample(long, labels, "doc_id", "text", "toxic", 10, 10, 60, 2000)
+    assert [r["label"] for r in few.collect()].count(1) == 1
