@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import ann, decontam, htmltext, linededup, lm, mixing, neardup, quality, sharding, toxicity
+from larder.llm import ann, decontam, dialogue, htmltext, linededup, lm, mixing, neardup, quality, sharding, toxicity
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,47 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     text = htmltext.main_text(table(spark, sf, "pages"))
     return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
+_SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: crc32 bit by bit: each byte is xored in and followed by eight shifts.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({}, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+       lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT)"""
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_CRC_SQL.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE h <> 0),
+seq AS (SELECT conv_id, turn, role, text, rtrim(text, {_SPACE_SQL}) AS body, left(role, 1) AS c,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen FROM dam),
+f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN seen THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS two FROM seq),
+facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+move(c, p, q) AS (VALUES ('s', '0', 'S'), ('u', '0', 'U'), ('u', 'S', 'U'), ('u', 'A', 'U'), ('a', 'U', 'A')),
+hop(p, q, cost, audit) AS (VALUES ('0', '0', 0, ''), ('S', 'S', 0, ''), ('U', 'U', 0, ''), ('A', 'A', 0, ''), ('0', 'U', 2, 'I'), ('0', 'A', 4, 'II'),
+  ('S', 'U', 2, 'I'), ('S', 'A', 4, 'II'), ('U', 'A', 2, 'I'), ('A', 'U', 2, 'I')),
+edit(c, p, q, cost, audit) AS (SELECT NULL::VARCHAR, p, p, 3, 'D' FROM hop WHERE p = q UNION ALL SELECT NULL::VARCHAR, p, q, 2, 'R' FROM move WHERE c <> 's' UNION ALL SELECT c, p, q, 0, 'K' FROM move),
+best(conv_id, i, q, x) AS (SELECT conv_id, 0::BIGINT, q, printf('%012d', cost) || audit FROM facts, hop WHERE p = '0'
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, h.q, min(printf('%012d', left(b.x, 12)::BIGINT + e.cost + h.cost + CASE WHEN f.fault = 't' AND e.audit <> 'D' THEN 1 ELSE 0 END) || substr(b.x, 13) || e.audit || h.audit)
+  FROM best b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1 JOIN edit e ON e.p = b.q AND (e.c IS NULL OR e.c = f.c) AND (e.audit = 'D' OR f.fault NOT IN ('b', 'd'))
+  JOIN hop h ON h.p = e.q GROUP BY b.conv_id, b.i + 1, h.q),
+fin AS (SELECT b.conv_id, min(x) AS x FROM best b JOIN facts ON facts.conv_id IS NOT DISTINCT FROM b.conv_id AND n = i WHERE q IN ('0', 'A') GROUP BY b.conv_id),
+letter AS (SELECT conv_id, substr(x, 13) AS audit, unnest(range(1, length(x) - 11)) AS k FROM fin),
+step AS (SELECT conv_id, k, audit[k] AS e, k - length(replace(left(audit, k), 'I', '')) AS ins FROM letter),
+made AS (SELECT s.conv_id, k, e, f.role, CASE WHEN e = 'I' THEN '' ELSE f.text END AS text, row_number() OVER (PARTITION BY s.conv_id ORDER BY k) AS o,
+  first_value(CASE WHEN e = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id ORDER BY k) AS sys
+  FROM step s LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND s.e <> 'I' AND f.i = s.k - s.ins WHERE e <> 'D'),
+said AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS t FROM made GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(x, 12)::BIGINT, 0) AS cost, coalesce(substr(x, 13), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM d.conv_id
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return dialogue.repair(rows, dialogue.damaged(rows))
