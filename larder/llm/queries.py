@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import ann, decontam, dialogue, htmltext, linededup, lm, mixing, neardup, quality, sharding, toxicity
+from larder.llm import ann, decontam, dialogue, htmltext, linededup, lm, mixing, neardup, phrases, quality, sharding, sigtree, toxicity
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,42 @@ LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN said ON sa
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     return dialogue.repair(rows, dialogue.damaged(rows))
+
+
+@query("op12_collocations", f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece),
+spot AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+gram AS (SELECT lang, ws[i:i + n - 1] AS ws, n FROM spot, (SELECT unnest(range(1, 5)) AS n) WHERE i + n - 1 <= len(ws)),
+f AS (SELECT lang, n AS size, array_to_string(ws, ' ') AS phrase, ws, count(*) AS f FROM gram GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, ws, f AS a FROM f WHERE size >= 2 AND f >= 30),
+cut AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:c.size], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT c.lang, array_to_string(c.ws[i:i + n - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, size)) AS i FROM cand WHERE size > 2) c, (SELECT unnest([2, 3]) AS n) WHERE n < size AND i + n - 1 <= size GROUP BY ALL),
+held AS (SELECT b.* FROM best b LEFT JOIN inside s USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM held JOIN total USING (lang) QUALIFY rank <= 2000
+""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_jaccard_join", f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM doc WHERE len(w) > 0),
+shingle AS (SELECT DISTINCT doc_id, w[i:i + 2] AS s FROM spot),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * x >= 90 * (p.n + q.n - x)),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM step UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
+""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return sigtree.jaccard_components(table(spark, sf, "documents"), width=3, percent=90)
