@@ -15,7 +15,7 @@ pairs back it is repeated over what is still apart, with 16 times the room: no l
 all its pairs. A large bucket is cut into nodes of ``BLOCK`` members first, which are met pair by pair in tasks of their own.
 
 Null and empty texts have no shingles and no links. A null id links with nothing, its component is null. Rows sharing an id
-are one document, each reports the smallest component of the id's texts. Equal rows are answered once each, an empty
+are one document, and its texts are linked. Equal rows are answered once each, an empty
 table gives no rows, other columns are not read.
 """
 
@@ -275,9 +275,9 @@ def _confirm(width: int, percent: int):
     """Pairs whose full sets are near enough."""
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = dict(zip(a, batch.column("text_a").to_pylist())) | dict(zip(b, batch.column("text_b").to_pylist()))
-            of = dict(zip(texts, sets(list(texts.values()), width)))
+            a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            texts = list(dict.fromkeys(a + b))
+            of = dict(zip(texts, sets(texts, width)))
             ok = []
             for x, y in zip(a, b):
                 both = len(np.intersect1d(of[x], of[y], assume_unique=True))
@@ -318,8 +318,14 @@ def jaccard_components(df: DataFrame, width: int = 3, percent: int = 90, id_col:
             texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), pair)
 
+    rows = signed.select("id", "n", "sa", "sb").join(
+        classes.select("sa", "sb", "n", F.col("id").alias("rep")), ["sa", "sb", "n"], "left").select("id", "n", "rep")
+    # an id with several texts links their classes
+    several = rows.where("rep IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    same = rows.join(several.select("id", "a"), "id").select("a", F.col("rep").alias("b"))
+
     entry = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    joined, tested, room = written(components(test(entry)), "joined"), entry, ROOM
+    joined, tested, room = written(components(test(entry).unionByName(same)), "joined"), entry, ROOM
     while True:
         named = written(_pairs_of_trees(buckets, classes, joined, percent, room), "named")
         fresh = written(named.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
@@ -328,8 +334,6 @@ def jaccard_components(df: DataFrame, width: int = 3, percent: int = 90, id_col:
         if named.where("more").isEmpty():
             break
         tested, room = tested.unionByName(fresh), room * 16
-    member = classes.select("sa", "sb", "n", F.col("id").alias("rep")).join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "sa", "sb", "n", F.coalesce("component", "rep").alias("c"))
-    rows = signed.select("id", "n", "sa", "sb").join(member, ["sa", "sb", "n"], "left")
-    own = rows.groupBy("id").agg(F.coalesce(F.min("c"), F.col("id")).alias("component_id"))
-    return rows.join(own, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    out = rows.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                      F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
