@@ -5,10 +5,10 @@ these longest windows are counted; Spark's ROLLUP over (lang, w1, .., w4) sums t
 phrases, for a phrase occurs once for every window that begins with it, and into the number of words per language. No
 n-gram of lower order is exploded.
 
-Before that a window is also padded behind a pair of words that occurs fewer than ``least`` times: no phrase that
-counts reaches across it. The pairs are counted by 64-bit hash, so a collision can only keep a pair, and those that are
-frequent enough travel as a bitmap of at most ``FILTER_BITS`` bits. Where a corpus has more frequent pairs than
-the bitmap can tell apart, more windows stay long; counts are the same.
+Before that a window is also padded behind a pair of words that occurs fewer than ``least`` times, since no phrase that
+counts reaches across it, and a word that rare leads an empty window, which only counts for the number of words. Words and pairs
+are counted by 32-bit hash, so a collision can only keep one, and those that are frequent enough travel as a bitmap of at
+most ``FILTER_BITS`` bits. Where a corpus has more of them than the bitmap can tell apart, more windows stay long; counts are the same.
 
 A null text is empty, a null language is ``und``. Repeated rows count as often as they occur. Empty tables and texts give no
 phrases. Ranks are told apart by score, count and phrase, so there are no ties. Other columns are not read.
@@ -45,8 +45,13 @@ def _words(data: np.ndarray, at: np.ndarray):
 
 
 def _pair_hash(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """Hash of each word and the one after it (the last one's is meaningless)."""
-    return mix(h * U(0x9E3779B97F4A7C15) + np.roll(h, -1) + lang * U(0xD6E8FEB86659FD93))
+    """32-bit hash of each word and the one after it (the last one's is meaningless)."""
+    return mix(h * U(0x9E3779B97F4A7C15) + np.roll(h, -1) + lang * U(0xD6E8FEB86659FD93)) >> U(32)
+
+
+def _word_hash(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """32-bit hash of each word."""
+    return mix(h + lang * U(0xA0761D6478BD642F)) >> U(32)
 
 
 def _tally(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +70,8 @@ def _count_pairs(batches):
         lang = batch.column("code").to_numpy(zero_copy_only=False).view(U)
         for i, _, data, at in tokens.walk(batch.column("text")):
             _, _, row, h, joined = _words(data, at)
-            u, n = np.unique(_pair_hash(h, lang[i + row])[joined], return_counts=True)
+            own = lang[i + row]
+            u, n = np.unique(np.concatenate([_pair_hash(h, own)[joined], _word_hash(h, own)]), return_counts=True)
             hashes.append(u)
             counts.append(n)
             if sum(map(len, hashes)) >= _MERGE:
@@ -75,18 +81,22 @@ def _count_pairs(batches):
         yield flush()
 
 
-def _bits(h, m: int):
-    return [h.bitwiseAND(F.lit(m - 1).cast("long")), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(m - 1).cast("long"))]
+_ODD, _PRIME = 0x1E3779B1, 4294967291
+
+
+def _places(h, m):
+    """Two bits of a 32-bit hash, alike for columns and arrays."""
+    return h % m, h * _ODD % _PRIME % m
 
 
 def pair_filter(rows: DataFrame, least: int, most_bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap (bytes) of the hashes of all pairs of words that occur at least ``least`` times in a language."""
+    """Bitmap (bytes) of the hashes of all words and pairs of words that occur at least ``least`` times in a language."""
     counted = rows.mapInArrow(_count_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     often = written(counted.where(F.col("n") >= least).select("h"), "pairs")
     m = PART_BITS
     while m < min(most_bits, 16 * often.count()):
         m *= 2
-    place = often.select(F.explode(F.array(*_bits(F.col("h"), m))).alias("p")).select((F.col("p") + 1).alias("p"))
+    place = often.select(F.explode(F.array(*[p.cast("long") for p in _places(F.col("h"), m)])).alias("p")).select((F.col("p") + 1).alias("p"))
     parts = place.groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros(m // 8, dtype=np.uint8)
     for r in parts.toLocalIterator():  # at most most_bits / 8 bytes
@@ -96,10 +106,10 @@ def pair_filter(rows: DataFrame, least: int, most_bits: int = FILTER_BITS) -> np
 
 
 def _known(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    m = U(len(bits) * 8 - 1)
     ok = np.ones(len(h), dtype=bool)
-    for p in (h & m, (h >> U(32)) & m):
-        ok &= (bits[p >> U(3)] >> (p & U(7)).astype(np.uint8)) & 1 > 0
+    for p in _places(h, U(len(bits) * 8)):
+        p = p.astype(np.int64)
+        ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
     return ok
 
 
@@ -116,14 +126,16 @@ def _lead_windows(bits):
                 s, e, row, h, joined = _words(data, at)
                 if not len(s):
                     continue
-                joined &= _known(_pair_hash(h, code[i + row]), known)
+                own = code[i + row]
+                joined &= _known(_pair_hash(h, own), known)
+                lead = _known(_word_hash(h, own), known)
                 _, first, word = np.unique(h, return_index=True, return_inverse=True)
                 lower = tokens.LOWER[data].tobytes()
                 text = pa.array(["", *[lower[s[k]: e[k]].decode() for k in first]])
                 langs = batch.column("lang").slice(i, j - i).dictionary_encode()
                 lang = langs.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64)
                 # the columns of a window: its word, and the following ones as long as all pairs before them hold
-                cols, holds, following = [word + 1], np.ones(len(s), dtype=bool), np.append(joined, np.zeros(LONGEST, dtype=bool))
+                cols, holds, following = [np.where(lead, word + 1, 0)], lead.copy(), np.append(joined, np.zeros(LONGEST, dtype=bool))
                 for k in range(1, LONGEST):
                     holds &= following[k - 1: k - 1 + len(s)]
                     cols.append(np.where(holds, np.roll(word, -k) + 1, 0))
@@ -149,12 +161,16 @@ def phrase_counts(df: DataFrame, least: int = 30, text_col: str = "text", lang_c
     rows = df.select(lang.alias("lang"), F.xxhash64(lang).alias("code"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     bits = spark.sparkContext.broadcast(pair_filter(rows, least))
     longest = rows.mapInArrow(_lead_windows(bits), _WINDOWS).groupBy("lang", *WINDOW).agg(F.sum("n").alias("n"))
-    summed = longest.rollup("lang", *WINDOW).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-    size = F.lit(LONGEST) - F.length(F.bin("g")) * (F.col("g") > 0).cast("int")
+    whole = longest.where((F.col(WINDOW[-1]) != "") & (F.col("n") >= least)).select(
+        "lang", F.lit(LONGEST).alias("size"), F.array_join(F.array(*WINDOW), " ").alias("phrase"), F.col("n").alias("f"))
+    # shorter phrases: the sums over all windows that begin with them
+    shorter = WINDOW[:-1]
+    summed = longest.rollup("lang", *shorter).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    size = F.lit(len(shorter)) - F.length(F.bin("g")) * (F.col("g") > 0).cast("int")
     summed = summed.withColumn("size", size).where((F.col("size") == 0) | (F.col("size") > 0) & (F.col("f") >= least))
-    whole = F.filter(F.array(*WINDOW), lambda w: w != "")  # pads are empty, words rolled up are null
-    summed = summed.withColumn("words", F.filter(whole, lambda w: w.isNotNull()))
-    return summed.where(F.size("words") == F.col("size")).select("lang", "size", F.array_join("words", " ").alias("phrase"), "f")
+    summed = summed.withColumn("words", F.filter(F.array(*shorter), lambda w: w.isNotNull() & (w != "")))  # pads are empty, summed-over words null
+    summed = summed.where(F.size("words") == F.col("size")).select("lang", "size", F.array_join("words", " ").alias("phrase"), "f")
+    return summed.unionByName(whole)
 
 
 def _exact(c: str):
