@@ -10,7 +10,7 @@ their smallest sizes, dual traversal leaves the pair of nodes, else it goes on t
 the same component are left as well.
 
 A bucket's first member is tested against the others before, so that a group of near copies is one component when its tree is
-walked. A walk names for each component its most promising pairs, full sets confirm them, and as long as a walk had to hold
+walked, and buckets of two are done. Members without another one of their bucket near enough in size do not enter its tree. A walk names for each component its most promising pairs, full sets confirm them, and as long as a walk had to hold
 pairs back it is repeated over what is still apart, with 16 times the room: no link is lost, and a group is never turned into
 all its pairs. A large bucket is cut into nodes of ``BLOCK`` members first, which are met pair by pair in tasks of their own.
 
@@ -27,7 +27,7 @@ from itertools import combinations_with_replacement, product
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.llm import tokens
 from larder.llm.common import broadcast_if_small, rows_per_batch, written
@@ -239,12 +239,17 @@ def _blocks(batches):
 
 def _pairs_of_trees(buckets: DataFrame, signed: DataFrame, joined: DataFrame, percent: int, room: int) -> DataFrame:
     """(a, b, more): what the walks over all buckets that hold several components name."""
-    of = buckets.join(joined, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
+    of = buckets.where("members > 2").join(joined, "id", "left").join(signed.select("id", "n"), "id").select(
+        "token", "id", "n", F.coalesce("component", "id").alias("component"))
+    # whose neighbour in size is already too far off has no partner in the bucket
+    by_size = Window.partitionBy("token").orderBy("n", "id")
+    of = of.withColumns({"lower": F.lag("n").over(by_size), "upper": F.lead("n").over(by_size)}).where(
+        (100 * F.col("lower") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("upper"))).drop("lower", "upper")
     apart = of.groupBy("token").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"),
         F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("q")).where("x <> y")
     apart = apart.groupBy("members", "p", "q").agg(F.min("token").alias("token")).select("token")  # one of the buckets with the same members
-    rows = of.join(apart, "token").join(signed.select("id", "n", "bits"), "id").select("token", "id", "n", "component", "bits")
+    rows = of.join(apart, "token").join(signed.select("id", "bits"), "id").select("token", "id", "n", "component", "bits")
     order = ["token", "component", "n", "id"]
     kind = rows.schema["id"].dataType.simpleString()
     member = f"struct<id: {kind}, n: bigint, component: {kind}, bits: binary>"
@@ -302,18 +307,24 @@ def jaccard_components(df: DataFrame, width: int = 3, percent: int = 90, id_col:
     classes = written(signed.where("n > 0 AND id IS NOT NULL").groupBy("sa", "sb", "n").agg(
         F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "classes")
     posts = classes.select("id", F.explode("prefix").alias("token"))
-    shared = posts.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("token", "first")
+    shared = posts.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).where(
+        "first <> last").select("token", "first", "members")
     buckets = written(posts.join(shared, "token"), "buckets")
-    bits = classes.select("id", "n", "bits")
+    sizes = classes.select("id", "n")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def test(pairs: DataFrame) -> DataFrame:
         """The pairs that bitmaps and full sets confirm."""
-        p = pairs.join(bits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a").join(
-            bits.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
-        p = p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(
+            sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        sized = written(sized.distinct(), "sized")
+        own = classes.select("id", "bits").join(broadcast_if_small(ends(sized)), "id", "left_semi")
+        p = sized.join(own.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(
+            own.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
         close = written(p.mapInArrow(_bound(percent), pair), "close")
-        wanted = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-        texts = written(docs.join(broadcast_if_small(wanted), "id", "left_semi"), "texts")
+        texts = written(docs.join(broadcast_if_small(ends(close)), "id", "left_semi"), "texts")
         full = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), pair)
