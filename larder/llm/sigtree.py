@@ -1,7 +1,7 @@
 """N-gram Jaccard join by signature trees.
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. Every class has a bitmap of 8 to 16 bits
-per shingle. Two sets at the threshold share one of their first n - ceil(t n) + 1 shingles in any common order, so the
+per shingle, and a brief one of 1 to 2 bits for the trees. Two sets at the threshold share one of their first n - ceil(t n) + 1 shingles in any common order, so the
 classes are dealt into buckets by those, in the order of a counted rarity: a passage that many documents share comes last
 and makes no bucket. Over the members of a bucket stands a signature tree: a node holds the OR of its members' bitmaps,
 the range of their sizes, and how many shingles of a member share a bit at most. What two nodes can have in common at most
@@ -38,7 +38,7 @@ from larder.llm.tokens import U, mix
 SLOTS = 1 << 18  # counters of shingle rarity
 BLOCK, BLOCK_BYTES = 512, 1 << 22  # members and bitmap bytes of the largest node of a bucket
 FANOUT = 8
-ROOM = 4  # pairs a component may name in the first walk
+ROOM = 64  # pairs a component may name in the first walk
 _SEEDS = mix(np.array([11, 23], dtype=U))
 
 
@@ -71,10 +71,10 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def bitmap(v: np.ndarray) -> bytes:
-    """8 to 16 bits per shingle; the bit is the low bits of the hash, so that halves folded together are the smaller bitmap."""
+def bitmap(v: np.ndarray, per: int = 8) -> bytes:
+    """``per`` to twice as many bits per shingle; the bit is the low bits of the hash, so that halves folded together are the smaller bitmap."""
     m = 64
-    while m < 8 * len(v):
+    while m < per * len(v):
         m *= 2
     bits = np.zeros(m, dtype=np.uint8)
     bits[(v & U(m - 1)).astype(np.int64)] = 1
@@ -98,7 +98,7 @@ def _sign(width: int, percent: int, classes):
         rare = classes.value
         for batch in batches:
             n = batch.num_rows
-            size, sums, bits, first_few = np.zeros(n, dtype=np.int64), np.zeros((2, n), dtype=U), [None] * n, [None] * n
+            size, sums, bits, brief, first_few = np.zeros(n, dtype=np.int64), np.zeros((2, n), dtype=U), [None] * n, [None] * n, [None] * n
             for i, j, data, at in tokens.walk(batch.column("text")):
                 h, row = tokens.word_hashes(data, at)
                 v, r = tokens.shingles(h, row, j - i, width)
@@ -112,11 +112,11 @@ def _sign(width: int, percent: int, classes):
                 order = np.lexsort((v, kind, r))
                 wanted = (np.arange(len(v)) - np.repeat(first, count) < np.repeat(prefix_length(count, percent), count)) & (kind[order] > 0)
                 for k, a, c in zip(full, first, count):
-                    bits[i + k] = bitmap(v[a: a + c])
+                    bits[i + k], brief[i + k] = bitmap(v[a: a + c]), bitmap(v[a: a + c], 1)
                     first_few[i + k] = v[order[a: a + c][wanted[a: a + c]]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(bits, pa.binary()),
-                 pa.array(first_few, pa.list_(pa.int64()))], names=["id", "n", "sa", "sb", "bits", "prefix"])
+                 pa.array(brief, pa.binary()), pa.array(first_few, pa.list_(pa.int64()))], names=["id", "n", "sa", "sb", "bits", "brief", "prefix"])
 
     return run
 
@@ -249,13 +249,13 @@ def _pairs_of_trees(buckets: DataFrame, signed: DataFrame, joined: DataFrame, pe
         F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"),
         F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("q")).where("x <> y")
     apart = apart.groupBy("members", "p", "q").agg(F.min("token").alias("token")).select("token")  # one of the buckets with the same members
-    rows = of.join(apart, "token").join(signed.select("id", "bits"), "id").select("token", "id", "n", "component", "bits")
+    rows = of.join(apart, "token").join(signed.select("id", F.col("brief").alias("bits")), "id").select("token", "id", "n", "component", "bits")
     order = ["token", "component", "n", "id"]
     kind = rows.schema["id"].dataType.simpleString()
     member = f"struct<id: {kind}, n: bigint, component: {kind}, bits: binary>"
     nodes = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         _blocks, f"token long, node long, low long, high long, members array<{member}>"), "nodes")
-    several = nodes.join(nodes.groupBy("token").count().where("count > 1").select("token"), "token")
+    several = nodes.join(broadcast_if_small(nodes.groupBy("token").count().where("count > 1").select("token")), "token")
     other = several.select("token", F.col("node").alias("node_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("members").alias("others"))
     two = several.join(other, "token").where(
         (F.col("node") < F.col("node_b")) & (100 * F.least("high", "high_b") >= percent * F.greatest("low", "low_b"))).select("members", "others")
@@ -303,9 +303,9 @@ def jaccard_components(df: DataFrame, width: int = 3, percent: int = 90, id_col:
     kind = docs.schema["id"].dataType.simpleString()
     pair = f"a {kind}, b {kind}"
     rare = spark.sparkContext.broadcast(rarity(docs, width))
-    signed = written(docs.mapInArrow(_sign(width, percent, rare), f"id {kind}, n long, sa long, sb long, bits binary, prefix array<long>"), "signed")
+    signed = written(docs.mapInArrow(_sign(width, percent, rare), f"id {kind}, n long, sa long, sb long, bits binary, brief binary, prefix array<long>"), "signed")
     classes = written(signed.where("n > 0 AND id IS NOT NULL").groupBy("sa", "sb", "n").agg(
-        F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "classes")
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bits", "brief", "prefix")]), "classes")
     posts = classes.select("id", F.explode("prefix").alias("token"))
     shared = posts.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).where(
         "first <> last").select("token", "first", "members")
