@@ -5,10 +5,10 @@ these longest windows are counted; Spark's ROLLUP over (lang, w1, .., w4) sums t
 phrases, for a phrase occurs once for every window that begins with it, and into the number of words per language. No
 n-gram of lower order is exploded.
 
-Before that a window is also padded behind a pair of words that occurs fewer than ``least`` times, since no phrase that
-counts reaches across it, and a word that rare leads an empty window, which only counts for the number of words. Words and pairs
-are counted by 32-bit hash, so a collision can only keep one, and those that are frequent enough travel as a bitmap of at
-most ``FILTER_BITS`` bits. Where a corpus has more of them than the bitmap can tell apart, more windows stay long; counts are the same.
+Before that a window is also padded where it would hold two or three words in a row that occur fewer than ``least`` times, since
+no phrase that counts reaches across them, and a word that rare leads an empty window, which only counts for the number of
+words. What is rare is told by 32-bit hashes counted beforehand: a collision can only keep a word, and no count of the result comes from
+them. The frequent ones travel as a bitmap of at most ``FILTER_BITS`` bits. Where a corpus has more of them than the bitmap can tell apart, more windows stay long; counts are the same.
 
 A null text is empty, a null language is ``und``. Repeated rows count as often as they occur. Empty tables and texts give no
 phrases. Ranks are told apart by score, count and phrase, so there are no ties. Other columns are not read.
@@ -49,11 +49,21 @@ def _pair_hash(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return mix(h * U(0x9E3779B97F4A7C15) + np.roll(h, -1) + lang * U(0xD6E8FEB86659FD93)) >> U(32)
 
 
+def _triple_hash(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """32-bit hash of each word and the two after it."""
+    return mix(h * U(0x9E3779B97F4A7C15) + np.roll(h, -1) * U(0xC2B2AE3D27D4EB4F) + np.roll(h, -2) + lang * U(0x2545F4914F6CDD1D)) >> U(32)
+
+
 def _word_hash(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
     """32-bit hash of each word."""
     return mix(h + lang * U(0xA0761D6478BD642F)) >> U(32)
 
 
+def _after(x: np.ndarray, k: int) -> np.ndarray:
+    """The flags k places on, none past the end."""
+    return np.append(x[k:], np.zeros(min(k, len(x)), dtype=bool))
+
+
 def _tally(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     h, at = np.unique(np.concatenate(hashes), return_inverse=True)
     return h, np.bincount(at, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
@@ -71,7 +81,7 @@ def _count_pairs(batches):
         for i, _, data, at in tokens.walk(batch.column("text")):
             _, _, row, h, joined = _words(data, at)
             own = lang[i + row]
-            u, n = np.unique(np.concatenate([_pair_hash(h, own)[joined], _word_hash(h, own)]), return_counts=True)
+            u, n = np.unique(np.concatenate([_word_hash(h, own), _pair_hash(h, own)[joined], _triple_hash(h, own)[joined & _after(joined, 1)]]), return_counts=True)
             hashes.append(u)
             counts.append(n)
             if sum(map(len, hashes)) >= _MERGE:
@@ -90,7 +100,7 @@ def _places(h, m):
 
 
 def pair_filter(rows: DataFrame, least: int, most_bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap (bytes) of the hashes of all words and pairs of words that occur at least ``least`` times in a language."""
+    """Bitmap (bytes) of the hashes of all words, pairs and triples of words that occur at least ``least`` times in a language."""
     counted = rows.mapInArrow(_count_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     often = written(counted.where(F.col("n") >= least).select("h"), "pairs")
     m = PART_BITS
@@ -128,17 +138,16 @@ def _lead_windows(bits):
                     continue
                 own = code[i + row]
                 joined &= _known(_pair_hash(h, own), known)
+                triple = joined & _after(joined, 1) & _known(_triple_hash(h, own), known)
                 lead = _known(_word_hash(h, own), known)
+                # whether a window reaches its second, third and fourth word
+                reach = [lead & joined, lead & triple, lead & triple & _after(triple, 1)]
                 _, first, word = np.unique(h, return_index=True, return_inverse=True)
                 lower = tokens.LOWER[data].tobytes()
                 text = pa.array(["", *[lower[s[k]: e[k]].decode() for k in first]])
                 langs = batch.column("lang").slice(i, j - i).dictionary_encode()
                 lang = langs.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64)
-                # the columns of a window: its word, and the following ones as long as all pairs before them hold
-                cols, holds, following = [np.where(lead, word + 1, 0)], lead.copy(), np.append(joined, np.zeros(LONGEST, dtype=bool))
-                for k in range(1, LONGEST):
-                    holds &= following[k - 1: k - 1 + len(s)]
-                    cols.append(np.where(holds, np.roll(word, -k) + 1, 0))
+                cols = [np.where(lead, word + 1, 0), *[np.where(ok, np.roll(word, -k) + 1, 0) for k, ok in enumerate(reach, 1)]]
                 order = np.lexsort([*cols[::-1], lang])
                 keys = [c[order] for c in (lang, *cols)]
                 new = np.ones(len(order), dtype=bool)
@@ -161,7 +170,8 @@ def phrase_counts(df: DataFrame, least: int = 30, text_col: str = "text", lang_c
     rows = df.select(lang.alias("lang"), F.xxhash64(lang).alias("code"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     bits = spark.sparkContext.broadcast(pair_filter(rows, least))
     longest = rows.mapInArrow(_lead_windows(bits), _WINDOWS).groupBy("lang", *WINDOW).agg(F.sum("n").alias("n"))
-    whole = longest.where((F.col(WINDOW[-1]) != "") & (F.col("n") >= least)).select(
+    # one condition on the count, which stays above the sum, so that both parts read the same shuffle
+    whole = longest.where(F.when(F.col(WINDOW[-1]) != "", F.col("n")).otherwise(F.lit(0)) >= least).select(
         "lang", F.lit(LONGEST).alias("size"), F.array_join(F.array(*WINDOW), " ").alias("phrase"), F.col("n").alias("f"))
     # shorter phrases: the sums over all windows that begin with them
     shorter = WINDOW[:-1]

@@ -77,7 +77,7 @@ def test_filter_knows_frequent_words_and_pairs_only(spark):
     df = table(spark, [("a b a b a b", "en"), ("a c", "en"), ("a b", "fr")])
     rows = df.select("text", "lang", F.xxhash64("lang").alias("code"))
     bits = lambda least: bin(int.from_bytes(phrases.pair_filter(rows, least).tobytes(), "little")).count("1")
-    assert 4 <= bits(3) <= 6 and bits(4) in (1, 2) and bits(5) == 0  # in English: a, b and a b; a; nothing
+    assert 4 <= bits(3) <= 6 and bits(4) in (1, 2) and bits(5) == 0  # in English: a, b and a b; a; nothing; no triple occurs three times
 
 
 def test_marginals_are_counts_of_all_phrases(spark):
