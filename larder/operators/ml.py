@@ -1,28 +1,23 @@
-"""Spark ML forecasts: boosted trees, blends, validation, recursive and delta models."""
+"""Forecasts: boosted trees, blends, validation, recursive and delta models."""
 
 from __future__ import annotations
 
 import json
 import math
-from multiprocessing.pool import ThreadPool
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.exprs import clipped, exact_sum, finite, rnd, rnd_even
-from larder.operators import baselines, features, metrics
+from larder.operators import baselines, boosting, echo, metrics
+from larder.operators.boosting import GBTRegressor, Model
 from larder.operators.demand import SERIES
 from larder.operators.scalars import label_encode
-from larder.session import materialise, shared_dir
-
-PARALLEL_FITS = 4
+from larder.operators.trend import seasonal  # noqa: F401 - one of the models
+from larder.session import materialise
 
 # the columns a boosted-tree model reads, in the order of the vector
 FEATURE_COLS = [
@@ -66,39 +61,37 @@ def _filled(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: finite(c) for c in cols})
 
 
-def fit_gbt(train: DataFrame, cols: list[str] | None = None, target: str = TARGET, **params) -> PipelineModel:
-    cols = cols or used_features(train)
-    shared_dir(train.sparkSession)  # the errors of every tenth tree are checkpointed there, else their lineage grows with each tree
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="_pred", **{**DEFAULTS, **params})
-    assembler = VectorAssembler(inputCols=cols, outputCol="features")
-    data = _filled(training_rows(train), cols).select(*cols, F.col(target).cast("double").alias(target))
-    return Pipeline(stages=[assembler, gbt]).fit(data)
+def fit_all(df: DataFrame, fits: list[tuple[dict, Column | None]], cols: list[str] | None = None, target: str = TARGET) -> list[Model]:
+    """One model for each (settings, condition of its training rows), all grown side by side; unknown features count as 0."""
+    cols = cols or used_features(df)
+    specs = [(GBTRegressor(featuresCol="features", labelCol=target, predictionCol="_pred", **{**DEFAULTS, **p}), F.lit(True) if c is None else c) for p, c in fits]
+    return boosting.fit(_filled(training_rows(df), cols), cols, specs)
+
+
+def fit_gbt(train: DataFrame, cols: list[str] | None = None, target: str = TARGET, **params) -> Model:
+    return fit_all(train, [(params, None)], cols, target)[0]
 
 
-def predict(model: PipelineModel, df: DataFrame, out: str = "gbt") -> DataFrame:
+def predict(model: Model, df: DataFrame, out: str = "gbt") -> DataFrame:
     """Prediction not below 0; the feature columns keep their NULLs."""
-    cols = model.stages[0].getInputCols()
-    marked = df.withColumns({f"_f_{c}": finite(c) for c in cols})
-    asm = VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="features")
-    scored = model.stages[1].transform(asm.transform(marked))
-    return scored.withColumn(out, clipped(F.col("_pred"))).drop("features", "_pred", *[f"_f_{c}" for c in cols])
+    scored = boosting.predict(model, df, {c: finite(c) for c in model.cols}, "_pred")
+    return scored.withColumn(out, clipped(F.col("_pred"))).drop("_pred")
 
 
-def feature_importance(model: PipelineModel, spark, top: int = 20) -> DataFrame:
+def feature_importance(model: Model, spark, top: int = 20) -> DataFrame:
     """Importances by name; one value per feature, so the list is bounded by the model."""
-    pairs = list(zip(model.stages[0].getInputCols(), [float(x) for x in model.stages[1].featureImportances.toArray()]))
-    return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
+    return spark.createDataFrame(model.importances(), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def save_model(model: PipelineModel, path: str, spark, facts: dict) -> None:
-    """Model folder and a one-row JSON table with features and metrics beside it."""
-    model.write().overwrite().save(f"{path}/model")
-    info = json.dumps({"features": list(model.stages[0].getInputCols()), **facts})
+def save_model(model: Model, path: str, spark, facts: dict) -> None:
+    """Model and a one-row JSON table with features and metrics beside it."""
+    spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+    info = json.dumps({"features": model.cols, **facts})
     spark.createDataFrame([(info,)], "info string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
 
 
-def load_model(path: str, spark) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/info").first()[0])
+def load_model(path: str, spark) -> tuple[Model, dict]:
+    return Model.from_json(spark.read.text(f"{path}/model").first()[0]), json.loads(spark.read.text(f"{path}/info").first()[0])
 
 
 # ---- splits ------------------------------------------------------------------------
@@ -147,21 +140,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _side_by_side(jobs: list) -> list:
-    """Run independent fits from a few driver threads, as Spark's own cross-validator does."""
-    with ThreadPool(PARALLEL_FITS) as pool:
-        return pool.map(lambda job: job(), jobs)
-
-
 def cv_metrics(df: DataFrame, folds: int = 5, **params) -> DataFrame:
     """Expanding-window validation: one row per fold and their mean (fold 0)."""
     f = date_folds(df, folds)
-
-    def one(k):
-        model = fit_gbt(f.where(F.col("fold") < k), **params)
-        return _scores(predict(model, f.where(F.col("fold") == k)), "gbt").withColumn("fold", F.lit(k))
-
-    per = _union(_side_by_side([lambda k=k: one(k) for k in range(1, folds + 1)]))
+    models = fit_all(f, [(params, F.col("fold") < k) for k in range(1, folds + 1)])
+    per = _union([_scores(predict(m, f.where(F.col("fold") == k)), "gbt").withColumn("fold", F.lit(k)) for k, m in enumerate(models, 1)])
     mean = per.agg(F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in ("mae", "rmse", "wmape", "r2")]).withColumn("fold", F.lit(0))
     return per.unionByName(mean)
 
@@ -175,33 +158,27 @@ def walk_forward(df: DataFrame, splits: int = 3, test_months: int = 1, min_train
     """Metrics of the last months, one month after the other, each with a model of all earlier rows."""
     lo = df.agg(F.min("date").alias("d")).scalar()
     total = df.agg(((F.year(F.max("date")) - F.year(F.min("date"))) * 12 + F.month(F.max("date")) - F.month(F.min("date"))).alias("m")).scalar()
-
-    def one(i):
-        start = F.add_months(lo, total - splits * test_months + i * test_months)
-        end = F.add_months(lo, total - splits * test_months + (i + 1) * test_months)
-        train, test = df.where(F.col("date") < start), df.where((F.col("date") >= start) & (F.col("date") < end))
-        if train.limit(min_train).count() < min_train or test.limit(min_test).count() < min_test:
-            return None
-        return _scores(predict(fit_gbt(train, **params), test), "gbt").withColumn("split", F.lit(i))
-
-    return _union([r for r in _side_by_side([lambda i=i: one(i) for i in range(splits)]) if r is not None])
+    edge = [F.add_months(lo, total - splits * test_months + i * test_months) for i in range(splits + 1)]
+    train = [F.col("date") < edge[i] for i in range(splits)]
+    test = [(F.col("date") >= edge[i]) & (F.col("date") < edge[i + 1]) for i in range(splits)]
+    n = df.agg(*[F.count_if(c).alias(f"{k}{i}") for k, cs in (("train", train), ("test", test)) for i, c in enumerate(cs)]).first()
+    use = [i for i in range(splits) if n[f"train{i}"] >= min_train and n[f"test{i}"] >= min_test]
+    models = fit_all(df, [(params, train[i]) for i in use])
+    return _union([_scores(predict(m, df.where(test[i])), "gbt").withColumn("split", F.lit(i)) for i, m in zip(use, models)])
 
 
 def tune(df: DataFrame, grid: list[dict]) -> DataFrame:
     """Validation MAE of each parameter set on the explicit time split; best first."""
     train, val, _ = parts(df)
+    models = fit_all(train, [(p, None) for p in grid])
+    scores = [_scores(predict(m, val), "gbt").select("mae").withColumns({"no": F.lit(i), **{k: F.lit(v) for k, v in p.items()}})
+              for i, (p, m) in enumerate(zip(grid, models))]
+    return _union(scores).orderBy("mae", "no")
 
-    def one(i, p):
-        s = _scores(predict(fit_gbt(train, **p), val), "gbt").select("mae")
-        return s.withColumns({"no": F.lit(i), **{k: F.lit(v) for k, v in p.items()}})
 
-    return _union(_side_by_side([lambda i=i, p=p: one(i, p) for i, p in enumerate(grid)])).orderBy("mae", "no")
-
-
-def model_comparison(df: DataFrame, **params) -> DataFrame:
+def model_comparison(model: Model, test: DataFrame) -> DataFrame:
     """All models on the test window: baselines, trees, hybrid, buffered and waste-optimised."""
-    train, _, test = parts(df)
-    t = blended(predict(fit_gbt(train, **params), test))
+    t = blended(predict(model, test))
     models = {"naive_last_week": "naive", "moving_avg_7d": "ma7", "moving_avg_28d": "ma28", "gbt": "gbt",
               "hybrid_gbt30_ma7": "hybrid", "ma7_buffer20pct": "buffered", "waste_optimised": "waste_opt"}
     return metrics.compare_models(t, models)
@@ -216,45 +193,7 @@ def blended(df: DataFrame) -> DataFrame:
     return baselines.waste_optimised(baselines.buffered(df, "ma7"))
 
 
-# ---- per-series models -------------------------------------------------------------
-
-SEASONAL_REGRESSORS = ["temperature_max", "is_rainy", "is_holiday", "is_promotion_active", "is_weekend"]
-
-
-def _design(day: np.ndarray, reg: np.ndarray) -> np.ndarray:
-    cols = [np.ones_like(day), day / 365.25]
-    for period, order in ((7.0, 3), (365.25, 4)):
-        for k in range(1, order + 1):
-            cols += [np.sin(2 * np.pi * k * day / period), np.cos(2 * np.pi * k * day / period)]
-    return np.column_stack(cols + [reg[:, i] for i in range(reg.shape[1])])
-
-
-def seasonal(df: DataFrame, train_until: Column, min_rows: int = 30, z: float = 1.28, target: str = TARGET) -> DataFrame:
-    """Trend, weekly and yearly waves and regressors by least squares, one fit per series.
-
-    A series holds one row per day, so a group is bounded by the calendar.
-    """
-    regs = [c for c in SEASONAL_REGRESSORS if c in df.columns]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["place_id", "item_id", "date"]].copy()
-        day = (pd.to_datetime(pdf["date"]) - pd.Timestamp("1990-01-01")).dt.days.to_numpy(dtype=float)
-        x = _design(day, pdf[regs].to_numpy(dtype=float))
-        y, seen = pdf[target].to_numpy(dtype=float), pdf["_train"].to_numpy(dtype=bool)
-        if seen.sum() < min_rows:
-            return out.iloc[:0].assign(yhat=0.0, yhat_lower=0.0, yhat_upper=0.0)
-        a = x[seen]
-        beta = np.linalg.solve(a.T @ a + 1e-3 * np.eye(a.shape[1]), a.T @ y[seen])
-        fitted = x @ beta
-        sigma = float(np.std((y - fitted)[seen]))
-        return out.assign(yhat=np.maximum(fitted, 0), yhat_lower=np.maximum(fitted - z * sigma, 0), yhat_upper=np.maximum(fitted + z * sigma, 0))
-
-    rows = df.select(*SERIES, "date", F.col(target).cast("double").alias(target), *[finite(c).alias(c) for c in regs],
-                     (F.col("date") <= train_until).alias("_train"))
-    schema = rows.select(*SERIES, "date").schema
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    return rows.groupBy(*SERIES).applyInPandas(fit, f"{head}, yhat double, yhat_lower double, yhat_upper double")
-
+# ---- per-series figures ------------------------------------------------------------
 
 def residual_quantiles(df: DataFrame, train_until: Column, model_col: str = "gbt", qs: tuple[float, ...] = (0.5, 0.75, 0.9)) -> DataFrame:
     """Mean forecast plus the quantiles of the series' training residuals, not below 0."""
@@ -282,13 +221,19 @@ def item_holdout(df: DataFrame, rows: int = 30, min_train: int = 60, **params) -
 
 def multi_horizon(df: DataFrame, horizons: tuple[int, ...] = (1, 7, 30), min_train: int = 60, **params) -> DataFrame:
     """The hold-out of the last h rows for several h, per series and horizon."""
+    w = Window.partitionBy(*SERIES)
+    d = df.withColumns({"_rn": F.row_number().over(w.orderBy(F.desc("date"))), "_n": F.count(F.lit(1)).over(w)})
+    long = [F.col("_n") - h >= min_train for h in horizons]
+    models = fit_all(d, [(params, c & (F.col("_rn") > h)) for c, h in zip(long, horizons)])
+    return _union([_scores(predict(m, d.where(c & (F.col("_rn") <= h))), "gbt", SERIES).withColumn("horizon", F.lit(h))
+                   for m, c, h in zip(models, long, horizons)])
 
-    def one(h):
-        marked = holdout(df, h, min_train)
-        model = fit_gbt(marked.where(~F.col("is_test")).drop("_rn"), **params)
-        return _scores(predict(model, marked.where("is_test")), "gbt", SERIES).withColumn("horizon", F.lit(h))
 
-    return _union(_side_by_side([lambda h=h: one(h) for h in horizons]))
+def quantile_forecast(train: DataFrame, df: DataFrame, qs: tuple[float, ...] = (0.5, 0.75, 0.9), **params) -> DataFrame:
+    """A boosted model of its own for each quantile, by pinball loss: columns q50, q75, ..."""
+    for q, m in zip(qs, fit_all(train, [({**params, "quantile": q}, None) for q in qs])):
+        df = predict(m, df, f"q{int(q * 100)}")
+    return df
 
 
 # ---- recursive forecast ------------------------------------------------------------
@@ -299,29 +244,39 @@ STEP_COLS = [*[f"lag_{n}" for n in (1, 7, 14, 28)], *[f"{f}_{n}" for n in _SPANS
              "dow", "month", "quarter", "is_weekend", "is_month_start", "is_month_end", "dow_sin", "dow_cos", "month_sin", "month_cos"]
 
 
-def _step_features(df: DataFrame) -> DataFrame:
-    """Features of the next day from ``history`` (oldest first, up to 30 days) and ``date``.
+def step_matrix(h: np.ndarray, dates: np.ndarray) -> np.ndarray:
+    """Features (STEP_COLS x rows) of the day ``dates`` from the up to 30 days before it: rows of ``h``, newest last, NaN before the first.
 
     A lag the history does not reach is the mean of what there is; windows take the days they find.
     """
-    h = F.col("history")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean_of = lambda a: total(a) / F.size(a)
-    tail = lambda n: F.slice(h, F.greatest(F.size(h) - n + 1, F.lit(1)), F.lit(n))
-    spread = lambda a: F.sqrt(total(F.transform(a, lambda x: (x - mean_of(a)) * (x - mean_of(a)))) / F.greatest(F.size(a) - 1, F.lit(1)))
-    out = {f"lag_{n}": F.coalesce(F.try_element_at(h, F.lit(-n)), mean_of(h)) for n in (1, 7, 14, 28)}
-    for n in _SPANS:
-        out |= {f"mean_{n}": mean_of(tail(n)), f"std_{n}": spread(tail(n)), f"max_{n}": F.array_max(tail(n)), f"min_{n}": F.array_min(tail(n))}
-    for n in (7, 14):
-        r = 1 - 2.0 / (n + 1)
-        num = F.aggregate(h, F.lit(0.0), features.decayed(r))
-        out[f"ewm_{n}"] = num * (1 - r) / (1 - F.pow(F.lit(r), F.size(h)))
-    dow, month = F.weekday("date").cast("double"), F.month("date").cast("double")
-    out |= {"dow": dow, "month": month, "quarter": F.quarter("date").cast("double"), "is_weekend": (dow >= 5).cast("double"),
-            "is_month_start": (F.dayofmonth("date") == 1).cast("double"), "is_month_end": (F.last_day("date") == F.col("date")).cast("double"),
-            "dow_sin": F.sin(dow * 2 * math.pi / 7), "dow_cos": F.cos(dow * 2 * math.pi / 7),
-            "month_sin": F.sin(month * 2 * math.pi / 12), "month_cos": F.cos(month * 2 * math.pi / 12)}
-    return df.withColumns(out)
+    known = ~np.isnan(h)
+    n, x = known.sum(axis=1), np.where(known, h, 0.0)
+    mean = x.sum(axis=1) / n
+    out = [np.where(n >= k, x[:, -k], mean) for k in (1, 7, 14, 28)]
+    for k in _SPANS:
+        v, ok = x[:, -k:], known[:, -k:]
+        m = np.minimum(n, k)
+        avg = v.sum(axis=1) / m
+        spread = np.sqrt(np.where(ok, (v - avg[:, None]) ** 2, 0.0).sum(axis=1) / np.maximum(m - 1, 1))
+        out += [avg, spread, np.where(ok, v, -np.inf).max(axis=1), np.where(ok, v, np.inf).min(axis=1)]
+    for k in (7, 14):
+        r = 1 - 2.0 / (k + 1)
+        out.append((x * r ** np.arange(x.shape[1] - 1, -1, -1)).sum(axis=1) * (1 - r) / (1 - r**n))
+    day = dates.astype("datetime64[D]")
+    dow, month = ((day.astype(int) + 3) % 7).astype(float), (day.astype("datetime64[M]").astype(int) % 12 + 1).astype(float)
+    first = day == day.astype("datetime64[M]").astype("datetime64[D]")
+    next_first = (day + 1) == (day + 1).astype("datetime64[M]").astype("datetime64[D]")
+    out += [dow, month, (month - 1) // 3 + 1, dow >= 5, first, next_first]
+    out += [f(v * 2 * math.pi / p) for v, p in ((dow, 7), (month, 12)) for f in (np.sin, np.cos)]
+    return np.stack([np.asarray(v, dtype=float) for v in out])
+
+
+def _histories(column: pa.Array) -> np.ndarray:
+    """Lists of up to HISTORY values as rows of a matrix, newest last."""
+    n = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), HISTORY), np.nan)
+    out[np.arange(HISTORY) >= HISTORY - n[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def history_rows(df: DataFrame) -> DataFrame:
@@ -331,55 +286,52 @@ def history_rows(df: DataFrame) -> DataFrame:
         "history", F.collect_list(TARGET).over(w)).where(F.size("history") > 0)
 
 
-def recursive_forecast(df: DataFrame, days: int, **params) -> DataFrame:
-    """Day by day: predict, append to the history array, rebuild the features.
+def _step_rows(batches):
+    for batch in batches:
+        x = step_matrix(_histories(batch.column("history")), batch.column("date").cast(pa.int32()).to_numpy().astype("datetime64[D]"))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, x), batch.column(TARGET)], names=[*STEP_COLS, TARGET])
 
-    The loop runs over at most a few weeks of horizon; lineage is cut each step.
-    """
-    train = _step_features(history_rows(df))
-    model = fit_gbt(train, STEP_COLS, **params)
-    w = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-(HISTORY - 1), 0)
-    last = df.select(*SERIES, "date", F.col(TARGET).cast("double").alias(TARGET)).withColumn("history", F.collect_list(TARGET).over(w))
-    state = last.groupBy(*SERIES).agg(F.max_by("history", "date").alias("history"), F.max("date").alias("date")).where(F.size("history") > 0)
-    out = []
-    for _ in range(days):
-        step = predict(model, _step_features(state.withColumn("date", F.date_add("date", 1))), "predicted")
-        step = materialise(step.select(*SERIES, "date", "history", "predicted"))
-        out.append(step.select(*SERIES, "date", "predicted"))
-        state = step.select(*SERIES, "date", F.concat("history", F.array("predicted")).alias("history"))
-        state = state.withColumn("history", F.slice("history", F.greatest(F.size("history") - HISTORY + 1, F.lit(1)), F.lit(HISTORY)))
-    return _union(out)
 
+def _horizon(model, days: int, names: list[str]):
+    """Day by day: predict, append to the history, rebuild the features, for all series of a batch at once."""
+    def run(batches):
+        for batch in batches:
+            h, last = _histories(batch.column("history")), batch.column("date").cast(pa.int32()).to_numpy()
+            for k in range(1, days + 1):
+                p = np.maximum(model.value.score(step_matrix(h, (last + k).astype("datetime64[D]"))), 0.0)
+                h = np.concatenate([h[:, 1:], p[:, None]], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in SERIES], pa.array((last + k).astype(np.int32)).cast(pa.date32()), pa.array(p)], names=names)
 
-# ---- delta model -------------------------------------------------------------------
+    return run
 
-def delta_vectors(df: DataFrame, length: int, horizon: int = 1) -> DataFrame:
-    return features.delta_sequences(features.demand_deltas(df), length, horizon).withColumn("features", array_to_vector("seq"))
 
+def recursive_forecast(df: DataFrame, days: int, **params) -> DataFrame:
+    """The days after each series' last, every forecast entering the history of the next; one job after the fit."""
+    schema = ", ".join(f"{c} double" for c in [*STEP_COLS, TARGET])
+    model = fit_gbt(history_rows(df).select("date", "history", TARGET).mapInArrow(_step_rows, schema), STEP_COLS, **params)
+    w = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-(HISTORY - 1), 0)
+    last = df.select(*SERIES, "date", F.col(TARGET).cast("double").alias(TARGET)).withColumn("history", F.collect_list(TARGET).over(w))
+    state = last.groupBy(*SERIES).agg(F.max_by("history", "date").alias("history"), F.max("date").alias("date")).where(F.size("history") > 0)
+    keys = state.select(*SERIES).schema
+    names = [*SERIES, "date", "predicted"]
+    out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in keys.fields], "date date", "predicted double"])
+    return state.mapInArrow(_horizon(df.sparkSession.sparkContext.broadcast(model), days, names), out)
 
-def fit_delta(seq: DataFrame) -> object:
-    return LinearRegression(featuresCol="features", labelCol="target", predictionCol="delta_pred", elasticNetParam=0.5,
-                            regParam=0.01, solver="normal").fit(seq.select("features", "target"))
 
+# ---- delta model -------------------------------------------------------------------
 
-def delta_model(df: DataFrame, length: int = 60, test_rows: int = 30) -> DataFrame:
+def delta_model(df: DataFrame, length: int = 60, test_rows: int = 30, min_train: int = 60) -> DataFrame:
     """Next-day forecast as last value plus predicted change; scored on the last rows of each series."""
-    seq = holdout(delta_vectors(df, length), test_rows, 60)
-    model = fit_delta(seq.where(~F.col("is_test")))
-    scored = model.transform(seq.where("is_test"))
-    return scored.select(*SERIES, "date", F.col(TARGET), (F.col(TARGET) + F.col("target")).alias("actual_next"),
-                         clipped(F.col(TARGET) + F.col("delta_pred")).alias("predicted_next"))
+    series = materialise(echo.series_arrays(df, TARGET))
+    net = echo.fit(series, length, test_rows, min_train)
+    return echo.holdout_forecasts(series, net, test_rows, min_train, TARGET)
 
 
 def delta_next(df: DataFrame, length: int = 60) -> DataFrame:
     """Forecast of the day after the data per series; short histories are padded with zeros on the left."""
-    d = features.demand_deltas(df)
-    model = fit_delta(delta_vectors(df, length))
-    w = Window.partitionBy(*SERIES).orderBy("date").rowsBetween(-(length - 1), 0)
-    last = d.withColumn("seq", F.collect_list("delta").over(w)).groupBy(*SERIES).agg(
-        F.max_by("seq", "date").alias("seq"), F.max_by(TARGET, "date").alias("_last"))
-    scored = model.transform(last.withColumn("features", array_to_vector(features.pad_sequence("seq", length))))
-    return scored.select(*SERIES, clipped(F.col("_last") + F.col("delta_pred")).alias("delta_forecast"))
+    series = materialise(echo.series_arrays(df, TARGET))
+    return echo.next_day(series, echo.fit(series, length))
 
 
 # ---- ensemble ----------------------------------------------------------------------
@@ -415,15 +367,14 @@ def ensemble(latest: DataFrame, factors: DataFrame, days: int, models: list[str]
         F.when(F.col("delta_forecast").isNull(), "ensemble_2model").otherwise("ensemble_3model").alias("model_source"))
 
 
-def training_pipeline(df: DataFrame, path: str, spark, **params) -> DataFrame:
-    """Split, fit, predict, score, save; one row per step with its figure."""
+def training_pipeline(df: DataFrame, model: Model, path: str, spark) -> DataFrame:
+    """Split, predict with the model of the training rows, score, save; one row per step with its figure."""
     from larder.sources.files import save_predictions
     train, _, test = parts(df)
-    model = fit_gbt(train, **params)
     scored = blended(predict(model, test))
     mae = _scores(scored, "hybrid").first()["mae"]
     save_model(model, path, spark, {"mae": mae})
     save_predictions(scored.withColumn("predicted", F.col("hybrid")).select("date", *SERIES, TARGET, "predicted"), f"{path}/predictions")
-    steps = [("split", "train rows", float(train.count())), ("fit", "trees", float(model.stages[1].getNumTrees)),
+    steps = [("split", "train rows", float(train.count())), ("fit", "trees", float(len(model.trees))),
              ("predict", "test rows", float(scored.count())), ("score", "hybrid mae", float(mae))]
     return spark.createDataFrame(steps, "step string, figure string, value double")

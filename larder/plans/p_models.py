@@ -26,9 +26,19 @@ def train_matrix(spark, sf):
     return frames.written(ml.encode_categoricals(p_calendar.build_features(spark, sf)), "features")
 
 
+def main_model(df):
+    """The full model of the training rows of a matrix, fitted once; forecasts, scores and importances share it."""
+    key = ("main_model", id(df))
+    if key not in frames._MADE:
+        train, _, _ = ml.parts(df)
+        frames._MADE[key] = (df, ml.fit_gbt(train))
+    return frames._MADE[key][1]
+
+
 def scored_test(spark, sf):
-    train, _, test = ml.parts(train_matrix(spark, sf))
-    return ml.blended(ml.predict(ml.fit_gbt(train), test))
+    df = train_matrix(spark, sf)
+    _, _, test = ml.parts(df)
+    return ml.blended(ml.predict(main_model(df), test))
 
 
 @query("time_split", Q("grid", "b AS (SELECT MIN(date) AS lo, MAX(date) AS hi FROM grid)", """SELECT split, COUNT(*) AS n, MIN(date) AS first_date, MAX(date) AS last_date FROM (SELECT date,
@@ -56,13 +66,14 @@ def _(spark, sf):
 
 @query("feature_importance")
 def _(spark, sf):
-    train, _, _ = ml.parts(train_matrix(spark, sf))
-    return ml.feature_importance(ml.fit_gbt(train), spark)
+    return ml.feature_importance(main_model(train_matrix(spark, sf)), spark)
 
 
 @query("model_comparison")
 def _(spark, sf):
-    return ml.model_comparison(train_matrix(spark, sf))
+    df = train_matrix(spark, sf)
+    _, _, test = ml.parts(df)
+    return ml.model_comparison(main_model(df), test)
 
 
 @query("cv_metrics")
@@ -86,8 +97,8 @@ def _(spark, sf):
     df = train_matrix(spark, sf)
     train, _, _ = ml.parts(df)
     cut = train.agg(F.max("date").alias("d")).scalar()
-    scored = ml.predict(ml.fit_gbt(train), df)
-    return ml.residual_quantiles(scored, cut).where(F.col("date") > cut).select(*KEYS, "gbt", "q50", "q75", "q90")
+    later = ml.predict(main_model(df), df.where(F.col("date") > cut))
+    return ml.quantile_forecast(train, later).select(*KEYS, "gbt", "q50", "q75", "q90")
 
 
 @query("item_holdout")
@@ -120,8 +131,7 @@ def _(spark, sf):
 @query("fc_ensemble")
 def _(spark, sf):
     df = train_matrix(spark, sf)
-    train, _, _ = ml.parts(df)
-    model = ml.fit_gbt(train)
+    model = main_model(df)
     cols = [c for c in df.columns if c not in KEYS]
     latest = features.latest_per_series(df, cols)
     scored = baselines.hybrid(baselines.moving_average(ml.predict(model, latest), 7, "ma7"), "gbt", "ma7")
@@ -133,4 +143,5 @@ def _(spark, sf):
 
 @query("training_pipeline")
 def _(spark, sf):
-    return ml.training_pipeline(train_matrix(spark, sf), scratch_path(spark, "training"), spark)
+    df = train_matrix(spark, sf)
+    return ml.training_pipeline(df, main_model(df), scratch_path(spark, "training"), spark)
