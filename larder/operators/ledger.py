@@ -1,15 +1,17 @@
 """Balances from append-only event logs: floored, rejecting and plain ledgers.
 
-Segments (see functions.scan) keep a hot key spread over many tasks.
+Ranges of (key, time) keep a hot key spread over many tasks; floored balances scan segments (see functions.scan).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from larder.functions.scan import TARGET_ROWS, running_min, running_sum, with_segments
 from larder.session import materialise
@@ -29,109 +31,161 @@ def floored_ledger(events: DataFrame, keys: list[str], ts: str, tie: str, delta:
         "quantity_after", F.greatest(before + F.col(delta).cast("decimal(28,6)"), F.lit(0)).cast("double")).drop("_s", "_prev", "_m")
 
 
-def _runs(pdf: pd.DataFrame, keys: list[str], state: dict):
-    """Row by row over sorted rows: (position, starts a new run). A run is one key and
-    segment; ``state`` carries the open run from one Arrow batch to the next."""
-    ids = list(zip(*[pdf[k].tolist() for k in keys]))
-    for i, key in enumerate(ids):
-        fresh = key != state.get("key")
-        state["key"] = key
-        yield i, fresh
-
-
-def _fold(keys: list[str], delta: str):
-    """Mark each step as accepted if the balance stays at or above 0. Memory is one batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-        balance = 0.0
-        for pdf in batches:
-            x, entry = pdf[delta].tolist(), pdf["_entry"].tolist()
-            before, after, ok = [0.0] * len(x), [0.0] * len(x), [False] * len(x)
-            for i, fresh in _runs(pdf, keys, state):
-                if fresh:
-                    balance = entry[i]
-                before[i] = balance
-                if balance + x[i] >= 0:
-                    balance += x[i]
-                    ok[i] = True
-                after[i] = balance
-            yield pdf.drop(columns="_entry").assign(quantity_before=before, quantity_after=after, accepted=ok)
+# A step x turns balance b into b + x where that is at least 0, else it is rejected. Over a stretch of steps the exit is
+# a piecewise map of the entry: from each threshold on, entry plus an offset. Such maps chain, so the stretches of a key in
+# different partitions are folded side by side as soon as their entries are known. Amounts are whole UNITs, sums exact.
+UNIT = 1_000_000
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str], delta: str) -> Iterator[tuple[tuple, list[int | None]]]:
+    """(key, its steps) of the runs of equal keys in a batch; None is a step without an amount, which is rejected."""
+    x = batch.column(delta).to_numpy(zero_copy_only=False).astype(float)
+    bad = ~np.isfinite(x)
+    units = np.round(np.where(bad, 0.0, x) * UNIT).astype(np.int64).tolist()
+    for i in np.flatnonzero(bad):
+        units[i] = None
+    names, start = list(zip(*[batch.column(k).to_pylist() for k in keys])), 0
+    for i in range(1, len(names) + 1):
+        if i == len(names) or names[i] != names[start]:
+            yield names[start], units[start:i]
+            start = i
+
+
+def exit_map(thresholds: np.ndarray, offsets: np.ndarray, most: int, units: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The map of entries from 0 to ``most`` after further steps: thresholds (the first is 0) and the offset from each on."""
+    t, c = thresholds, offsets
+    for x in units:
+        if x is None or x >= 0:
+            c = c + (x or 0)
+            continue
+        able = -x - c  # entries from here on can bear the step
+        end = np.append(t[1:], most + 1)
+        cut = (able > t) & (able < end)
+        after = np.where(able <= t, c + x, c)
+        if cut.any():
+            at = np.flatnonzero(cut) + 1
+            t, c = np.insert(t, at, able[cut]), np.insert(after, at, (c + x)[cut])
+        else:
+            c = after
+        if len(t) > 1:
+            new = np.append(True, c[1:] != c[:-1])
+            t, c = t[new], c[new]
+    return t, c
+
+
+def _reach(keys: list[str], delta: str):
+    """Of each partition's first and last key: a and m such that entries up to u lead to balances up to max(u + a, m) at most."""
+    def run(batches):
+        part, ends, kinds = 0, [], None
+        for batch in batches:
+            part = batch.column("_part")[0].as_py() if batch.num_rows else part
+            kinds = [batch.schema.field(k).type for k in keys]
+            for key, units in _runs(batch, keys, delta):
+                if not ends or ends[-1][0] != key:
+                    ends = [*ends[:1], [key, 0, 0]]
+                a, m = ends[-1][1:]
+                for x in units:
+                    if x is not None:
+                        a, m = a + x, max(m + x, -x, 0)
+                ends[-1][1:] = a, m
+        if ends:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(ends), pa.int32()), *[pa.array([e[0][i] for e in ends], t) for i, t in enumerate(kinds)],
+                 pa.array([e[1] for e in ends], pa.int64()), pa.array([e[2] for e in ends], pa.int64())], names=["part", *keys, "a", "m"])
 
     return run
 
 
-def _exits(keys: list[str], delta: str):
-    """Closing balance of each run."""
-    fold = _fold(keys, delta)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_run = None
-        for done in fold(batches):
-            if done.empty:
-                continue
-            done = done[[*keys, "quantity_after"]]
-            if open_run is not None:
-                done = pd.concat([open_run, done], ignore_index=True)
-            last = done[keys].ne(done[keys].shift(-1)).any(axis=1)
-            last.iloc[-1] = False
-            open_run = done.iloc[-1:]
-            yield done[last].rename(columns={"quantity_after": "_exit"})
-        if open_run is not None:
-            yield open_run.rename(columns={"quantity_after": "_exit"})
+def _maps(keys: list[str], delta: str, most: Broadcast):
+    """The exit map of each partition's last key, where that key goes on in the next partition; ``most`` bounds its entry."""
+    def run(batches):
+        part, t, c = None, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        for batch in batches:
+            part = batch.column("_part")[0].as_py() if batch.num_rows else part
+            if part in most.value:
+                highest, whose = most.value[part]
+                for name, units in _runs(batch, keys, delta):
+                    if name == whose:
+                        t, c = exit_map(t, c, highest, units)
+        if part in most.value:
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(t), pa.int32()), pa.array(t), pa.array(c)], names=["part", "threshold", "offset"])
 
     return run
 
 
-def rejecting_ledger(events: DataFrame, keys: list[str], ts: str, tie: str, delta: str,
-                     target: int = TARGET_ROWS) -> DataFrame:
-    """Balance where a step that would go below 0 is rejected and changes nothing.
+def _fold(keys: list[str], delta: str, entries: Broadcast):
+    """Balance before and after each step. The first key of a partition enters with the balance it had in the one before."""
+    def run(batches):
+        last, balance = None, 0
+        for batch in batches:
+            part = batch.column("_part")[0].as_py() if batch.num_rows else 0
+            before, after, ok = [], [], []
+            for key, units in _runs(batch, keys, delta):
+                if last != (key,):
+                    balance = entries.value.get(part, 0) if last is None else 0
+                    last = (key,)
+                for x in units:
+                    before.append(balance)
+                    good = x is not None and balance + x >= 0
+                    if good:
+                        balance += x
+                    after.append(balance)
+                    ok.append(good)
+            out = batch.drop_columns(["_part"])
+            for name, col in (("quantity_before", np.array(before) / UNIT), ("quantity_after", np.array(after) / UNIT), ("accepted", np.array(ok, dtype=bool))):
+                out = out.append_column(name, pa.array(col))
+            yield out
 
-    Which steps are rejected depends on the balance before them, so a key is
-    folded in order. A key of at most ``target`` rows is one group. A hot key is
-    cut into segments folded side by side from guessed entry balances; the exits
-    become the next entries until nothing changes. Round n makes at least the
-    first n segments right, so the result is exact.
+    return run
+
+
+def rejecting_ledger(events: DataFrame, keys: list[str], ts: str, tie: str, delta: str, target: int | None = None) -> DataFrame:
+    """Balance where a step that would go below 0 is rejected and changes nothing; a step without a finite amount is rejected.
+
+    Rows are dealt by ranges of (key, ts, tie), about ``target`` to a partition if given, so a key may span many of them. Only
+    a partition's first and last key can go on in another: of those, each partition reports how high its balances can get
+    and then the map from entry to exit balance, a few numbers a partition, which chained give every entry. Then all
+    partitions are folded at once. Three passes over the dealt rows at any size. Amounts count to six decimals.
     """
+    spark = events.sparkSession
     df = events.withColumn(delta, F.col(delta).cast("double"))
-    seg = with_segments(df, keys, ts, target=target)
-    order = seg.select(*keys, "_seg").distinct()
-    numbered = order.withColumn("_seg_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_seg")) - 1)
-    rows = seg.join(numbered, [*keys, "_seg"]).drop("_seg")
-    plain = rows.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.fields)
-    run = [*keys, "_seg_no"]
-
-    def in_order(entered: DataFrame) -> DataFrame:
-        return entered.repartition(*run).sortWithinPartitions(*run, ts, tie)
-
-    if not numbered.where(F.col("_seg_no") > 0).limit(1).count():
-        entered = rows.withColumn("_entry", F.lit(0.0))
-    else:
-        rows = materialise(rows)
-        sums = rows.groupBy(*run).agg(F.sum(delta).alias("_sum"))
-        w = Window.partitionBy(*keys).orderBy("_seg_no")
-        entries = sums.select(*run, F.greatest(F.coalesce(
-            F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), F.lit(0.0)).alias("_entry"))
-        keyed = ", ".join(f"`{k}` {plain[k].dataType.simpleString()}" for k in keys)
-        while True:
-            entries = materialise(entries)
-            exits = in_order(rows.select(*run, ts, tie, delta).join(entries, run)).mapInPandas(
-                _exits(run, delta), f"{keyed}, _seg_no int, _exit double")
-            following = exits.select(*keys, (F.col("_seg_no") + 1).alias("_seg_no"), "_exit")
-            nxt = materialise(entries.join(following, run, "left").select(
-                *run, F.coalesce("_exit", F.lit(0.0)).alias("_new"), "_entry"))
-            changed = nxt.where(F.col("_new") != F.col("_entry")).limit(1).count()
-            entries = nxt.select(*run, F.col("_new").alias("_entry"))
-            if not changed:
-                break
-        entered = rows.join(entries, run)
-    out = in_order(entered).mapInPandas(
-        _fold(run, delta), f"{fields}, quantity_before double, quantity_after double, accepted boolean")
-    return out.drop("_seg_no")
-
-
-def stock_ledger(events: DataFrame, keys: list[str], target: int = TARGET_ROWS) -> DataFrame:
+    order = [*keys, ts, tie]
+    parts = [max(1, -(-df.count() // target))] if target else []
+    # the number of its partition goes with each row: tasks that sample a range may count partitions anew
+    rows = materialise(df.repartitionByRange(*parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_part")
+    named = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    narrow = rows.select(*keys, delta, "_part")
+    ends: dict[int, list] = {}
+    for r in narrow.mapInArrow(_reach(keys, delta), f"part int, {named}, a long, m long").collect():  # two rows a partition
+        ends.setdefault(r["part"], []).append((tuple(r[k] for k in keys), r["a"], r["m"]))
+    most: dict[int, tuple[int, tuple]] = {}  # partition: highest entry of its last key, which goes on in the next
+    goes_on, high, open_key = [], 0, None
+    filled = sorted(ends)
+    for p, q in zip(filled, filled[1:]):
+        key, a, m = ends[p][-1]
+        if ends[q][0][0] != key:
+            open_key = None
+            continue
+        high = high if open_key == (key,) and len(ends[p]) == 1 else 0
+        most[p] = high, key
+        goes_on.append((p, q))
+        high, open_key = max(high + a, m, 0), (key,)
+    entries: dict[int, int] = {}
+    if most:
+        shared = spark.sparkContext.broadcast(most)
+        found: dict[int, list] = {}
+        for r in narrow.mapInArrow(_maps(keys, delta, shared), "part int, threshold long, offset long").toLocalIterator():  # a partition at a time
+            found.setdefault(r["part"], []).append((r["threshold"], r["offset"]))
+        for p, q in goes_on:
+            entry = entries.get(p, 0) if len(ends[p]) == 1 else 0
+            t = [x for x, _ in found[p]]
+            entries[q] = entry + found[p][bisect_right(t, entry) - 1][1]
+    shared = spark.sparkContext.broadcast(entries)
+    return rows.mapInArrow(_fold(keys, delta, shared), f"{fields}, quantity_before double, quantity_after double, accepted boolean")
+
+
+def stock_ledger(events: DataFrame, keys: list[str], target: int | None = None) -> DataFrame:
     """Audit rows of stock adjustments with cost; insufficient stock rejects the adjustment."""
     out = rejecting_ledger(events, keys, "ts", "event_id", "quantity", target)
     return out.withColumn("total_cost", F.when(F.col("accepted") & F.col("unit_cost").isNotNull(),
@@ -153,7 +207,7 @@ def earned(points: Column, multiplier: Column) -> Column:
     return F.floor(points * F.coalesce(multiplier, F.lit(1.0)))
 
 
-def points_ledger(events: DataFrame, members: DataFrame, tiers: DataFrame, target: int = TARGET_ROWS) -> DataFrame:
+def points_ledger(events: DataFrame, members: DataFrame, tiers: DataFrame, target: int | None = None) -> DataFrame:
     """Earn with the tier multiplier, redeem only from enough balance."""
     m = members.join(tiers, "tier_id", "left").select("member_id", "points_multiplier")
     j = events.join(m, "member_id")
