@@ -98,8 +98,8 @@ def ewm_features(df: DataFrame, target: str = "quantity_sold", keys: list[str] =
                  spans: tuple[int, ...] = (7, 14, 30)) -> DataFrame:
     """Exponentially weighted mean of all earlier rows, weights (1-a)^k, normalised; null for the first row.
 
-    A series is cut into blocks of 128 rows. Inside a block the weighted sum is a running sum of
-    rescaled values; what earlier blocks leave is carried through the few block totals, so
+    A series is cut into blocks of ``EWM_BLOCK`` rows. Inside a block the weighted sum is folded forward, so that it is
+    exact as long as the recurrence is; what earlier blocks leave is carried through the few block totals, so
     every row counts however far back it lies and the work is linear.
     """
     at = F.row_number().over(series_window(keys, "date")) - 1
@@ -107,7 +107,8 @@ def ewm_features(df: DataFrame, target: str = "quantity_sold", keys: list[str] =
     x, p = F.coalesce(F.col(target).cast("double"), F.lit(0.0)), F.col("_p")
     rates = {s: 1 - 2.0 / (s + 1) for s in spans}
     before = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumns({f"_in{s}": F.coalesce(F.sum(x * F.pow(F.lit(r), -p)).over(before) * F.pow(F.lit(r), p - 1), F.lit(0.0)) for s, r in rates.items()})
+    cells = cells.withColumn("_h", F.collect_list(x).over(before)).withColumns(
+        {f"_in{s}": F.aggregate("_h", F.lit(0.0), decayed(r)) for s, r in rates.items()}).drop("_h")
     # what a whole block adds at its end, and what its predecessors add at its start
     ends = cells.groupBy(*keys, "_b").agg(*[F.sum(x * F.pow(F.lit(r), EWM_BLOCK - 1 - p)).alias(f"_e{s}") for s, r in rates.items()])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

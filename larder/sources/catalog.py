@@ -136,17 +136,35 @@ _READ_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 _WRITES = re.compile(r"^[\s:+|-]*'?(Insert|Create|Replace|Drop|Truncate|Delete|Update|Merge|Alter|Overwrite|Append|Load|Set|Cache|Uncache|Refresh|\w+Command)\w*\b", re.MULTILINE)
 
 
+#: Strings, quoted names' quotes and comments, none of which can call a function.
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+#: Functions that run any method of the JVM, and names built from text.
+_CALLS = re.compile(r"\b(reflect|try_reflect|java_method|identifier)`?\s*\(", re.IGNORECASE)
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+_TABLE_FUNCTION = re.compile(r"UnresolvedTableValuedFunction \[([^\]]*)\]")
+_TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
+
+
 def adhoc_sql(spark: SparkSession, sql: str, cap: int = 100) -> DataFrame:
     """Run a SELECT or WITH statement, capped; everything else is refused before it runs.
 
-    The keyword test comes first. Then the parsed statement is searched for writes and commands, which
-    can follow a WITH; parsing neither resolves nor runs it.
+    The keyword test comes first. Then the parsed statement is searched for writes and commands, which can follow a
+    WITH; parsing neither resolves nor runs it. Functions that run JVM methods, files named as tables and table functions
+    other than the plain generators are refused: of relations, one name is allowed, or a qualified name the catalog knows.
     """
     if not _READ_ONLY.match(sql):
         raise ValueError("only SELECT and WITH statements are allowed")
+    if _CALLS.search(_QUOTED.sub(lambda m: " " if m[0][0] in "-/" else "''", sql)):
+        raise ValueError("the statement calls a function that is not allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
     if _WRITES.search(plan):
         raise ValueError("the statement writes or is a command")
+    if any(f.strip().lower() not in _TABLE_FUNCTIONS for f in _TABLE_FUNCTION.findall(plan)):
+        raise ValueError("the statement reads from a table function that is not allowed")
+    for name in _RELATION.findall(plan):
+        parts = [p.strip() for p in name.split(",")]
+        if len(parts) > 1 and ("/" in name or not spark.catalog.tableExists(".".join(f"`{p}`" for p in parts))):
+            raise ValueError("the statement reads a table the catalog does not hold")
     return spark.sql(sql).limit(cap)
 
 

@@ -126,7 +126,7 @@ def test_board_follows_the_latest_event_of_each_order(spark, tmp_path, each):
     out = {r["order_id"]: (r["status"], r["tier"]) for r in timed.run_board(spark, stream, shown, "0 seconds").collect()}
     want = {r["order_id"]: (r["status"], r["tier"]) for r in ledger.open_orders(
         spark.createDataFrame(rows, kind), F.lit(rows[-1][0]), shown).collect()}
-    assert out == want and {t for _, t in want.values()} == {"normal", "amber"}
+    assert out == want and {t for _, t in want.values()} >= {"normal", "amber"}
 
 
 def test_orders_of_a_day_are_counted_once_over_triggers(spark, tmp_path):

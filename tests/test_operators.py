@@ -303,6 +303,20 @@ def test_sql_guard_sees_writes_after_with(spark, tmp_path):
     assert catalog.adhoc_sql(spark, "WITH Insert_like AS (SELECT 'insert into t' AS x) SELECT x FROM Insert_like").count() == 1
 
 
+def test_sql_guard_refuses_methods_files_and_table_functions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("guarded")
+    for bad in ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT JAVA_METHOD ('java.lang.Math', 'random')", "SELECT `reflect`('a', 'b')",
+                "SELECT system.builtin.try_reflect('a', 'b')", "SELECT reflect/* x */('a', 'b')", "SELECT identifier('reflect')('a', 'b')",
+                f"SELECT * FROM parquet.`{path}`", f"SELECT * FROM text.`{path}`", f"WITH a AS (SELECT * FROM csv.`{path}`) SELECT * FROM a",
+                f"SELECT (SELECT max(id) FROM parquet.`{path}`)", "SELECT * FROM identifier('parquet.`/x`')"):
+        with pytest.raises(ValueError):
+            catalog.adhoc_sql(spark, bad)
+    assert catalog.adhoc_sql(spark, "SELECT 'reflect(' AS x, id FROM guarded -- reflect('a')").count() == 3
+    assert catalog.adhoc_sql(spark, "WITH a AS (SELECT id FROM range(5)) SELECT * FROM a JOIN guarded USING (id)").count() == 3
+
+
 def test_upsert_keeps_one_row_per_key(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, v string, at int")
     new = spark.createDataFrame([(1, "x", 5), (1, "y", 4), (3, "z", 1)], "id long, v string, at int")
