@@ -15,6 +15,11 @@ from larder.llm.common import table, written
 ORACLE_SQL = None
 
 
+def _carried(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns an operator reads beside the whole row, which it can neither see nor overwrite."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *read)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of these documents, does not call toxic."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
@@ -27,13 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return hit.where(F.col("n_hit") == 0).select(*docs.columns)
+    hit = decontam.contamination(_carried(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["row"])
+    return hit.where(F.col("n_hit") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, sources as even as they get before one is read more than twice."""
-    return mixing.mix(docs, max_repeat=2.0).select(*docs.columns)
+    return mixing.mix(_carried(docs, "doc_id", "text", "source"), max_repeat=2.0, keep=["row"]).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from larder.llm.common import lower_ascii, written
 
@@ -64,6 +65,14 @@ class Runs:
             self._put(level + 1, merged)
 
 
+def _cuts(ids: DataFrame, batches: int) -> list:
+    """Ids that cut the documents into about equal batches; where they fall does not change the result."""
+    if isinstance(ids.schema["id"].dataType, NumericType):
+        return ids.select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    ranged = ids.where("id IS NOT NULL").repartitionByRange(batches, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("id").alias("id"))
+    return sorted(r["id"] for r in ranged.collect())[:-1]  # one row a batch
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4,
                 fanout: int = 2) -> DataFrame:
     """One row per input row: id, n_lines, n_dropped and the text that stays.
@@ -73,7 +82,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     docs = docs.withColumn("t", F.xxhash64("text"))
-    cuts = df.select(F.percentile_approx(F.col(f"`{id_col}`"), [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    cuts = _cuts(docs.select("id"), batches)
     batch = reduce(lambda a, c: a + (F.col("id") > c).cast("int"), sorted(set(cuts)), F.lit(0))
     key = line_key(F.col("line"))
     lines = docs.where("id IS NOT NULL").select("id", "t", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).where(

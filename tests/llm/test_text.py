@@ -157,3 +157,10 @@ def test_queries_match_sql(spark, sf, key):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()], 9) == rows(cols, [tuple(r) for r in cur.fetchall()], 9)
+
+
+def test_line_dedup_of_text_ids(spark):
+    rows = [(f"d{i:02d}", f"own line number {i}\nA line that all of them share\nshort") for i in range(30)] + [(None, "A line that all of them share")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()}
+    assert got == {i: (n, d, t) for i, n, d, t in brute.line_dedup(rows)}
