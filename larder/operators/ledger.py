@@ -228,6 +228,19 @@ def history(ledger: DataFrame, key: str, value, limit: int, offset: int = 0) ->
     return ledger.where(F.col(key) == value).orderBy(F.desc("ts"), F.desc("event_id")).offset(offset).limit(limit)
 
 
+def adjustment_history(ledger: DataFrame, ingredients: DataFrame, users: DataFrame, ingredient=None, location=None, kind: str | None = None,
+                       limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of adjustments, newest first, with the names of ingredient and user and the ``total`` of all that the filters keep.
+
+    ``ingredients``: ingredient_id, ingredient_name; ``users``: adjusted_by, adjusted_by_name; an unknown name is null.
+    """
+    for c, v in (("ingredient_id", ingredient), ("location_id", location), ("adjustment_type", kind)):
+        ledger = ledger if v is None else ledger.where(F.col(c) == v)
+    total = ledger.agg(F.count(F.lit(1)).alias("n")).scalar()
+    page = ledger.orderBy(F.desc("ts"), F.desc("event_id")).offset(offset).limit(limit)  # names are looked up for the page alone
+    return page.join(ingredients, "ingredient_id", "left").join(users, "adjusted_by", "left").withColumn("total", total)
+
+
 def open_orders(status_events: DataFrame, as_of: Column, open_status: list[str]) -> DataFrame:
     """Latest status per order, open ones only, with timer columns."""
     last = status_events.groupBy("order_id").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.exprs import top_per_group
@@ -83,15 +85,29 @@ def context_text(ranked: DataFrame, rules: int = 3, insights: int = 5, cut: int
         F.when(body("insight").isNotNull(), F.concat(F.lit("\n**Recent Related Insights:**\n"), body("insight")))).alias("context"))
 
 
-# fixed values: the rules a new installation starts with
+# fixed values: the rules a new installation starts with, and their data
 DEFAULT_RULES = [
-    ("low_stock", "Reorder when stock falls to or below its threshold", "inventory"),
-    ("expiry_priority", "Use the batch that expires first", "inventory"),
-    ("weekend_demand", "Prepare more for Friday and the weekend", "forecasting"),
-    ("waste_limit", "Lower the forecast of items with high demand variation", "waste"),
-    ("promotion_slow_movers", "Promote items in the lowest quarter of demand", "promotion"),
+    ("low_stock_threshold", "Item is considered low stock when quantity falls below threshold",
+     {"default_days_of_supply": 3, "alert_level": "warning", "action": "reorder"}),
+    ("expiry_alert_windows", "Alert windows for expiring inventory",
+     {"critical_days": 2, "warning_days": 5, "caution_days": 7,
+      "actions": {"critical": "immediate_promotion_or_use", "warning": "plan_promotion", "caution": "monitor"}}),
+    ("waste_thresholds", "Acceptable waste levels by category",
+     {"produce": 0.08, "dairy": 0.05, "meat": 0.03, "prepared_food": 0.10, "default": 0.05}),
+    ("promotion_rules", "Rules for automatic promotion suggestions",
+     {"min_margin_after_discount": 0.10, "max_discount_percentage": 0.50, "bundle_discount_limit": 0.30}),
+    ("forecast_accuracy", "Acceptable forecast deviation thresholds",
+     {"excellent": 0.10, "good": 0.20, "acceptable": 0.30, "needs_review": 0.50}),
 ]
+RULE = "rule_name string, description string, rule_data string"
 
 
 def default_rules(spark) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_RULES, "rule_name string, description string, category string")
+    """The rules with their data as JSON text."""
+    return spark.createDataFrame([(n, d, json.dumps(x)) for n, d, x in DEFAULT_RULES], RULE)
+
+
+def upsert_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """Rules by name; a new one replaces the one of its name, text and data together."""
+    from larder.operators.joins import upsert
+    return upsert(rules, new, ["rule_name"])

@@ -353,3 +353,13 @@ def test_stream_ledger_over_many_files(spark, tmp_path):
         balance[k] = b + q if b + q >= 0 else b
         want[e] = (b, balance[k])
     assert {r["event_id"]: (r["quantity_before"], r["quantity_after"]) for r in got.collect()} == want
+
+
+def test_rules_are_upserted_with_their_data(spark):
+    import json
+
+    from larder.operators import retrieval
+    rules = retrieval.default_rules(spark)
+    new = spark.createDataFrame([("waste_thresholds", "changed", json.dumps({"default": 0.2})), ("own", "mine", "{}")], retrieval.RULE)
+    got = {r["rule_name"]: (r["description"], json.loads(r["rule_data"])) for r in retrieval.upsert_rules(rules, new).collect()}
+    assert len(got) == 6 and got["waste_thresholds"] == ("changed", {"default": 0.2}) and got["expiry_alert_windows"][1]["actions"]["caution"] == "monitor"
