@@ -8,13 +8,14 @@ there to code points of the original text.
 Null texts have no words. Null item ids count as hits but are not listed.
 Equal windows of several items are one pattern with several owners; rows that
 share an id are scanned each on its own. The patterns are broadcast in parts of
-at most ``max_bytes``; one automaton per part, and benchmarks above that size
+at most ``max_bytes`` (an automaton takes some 24 times its patterns in each worker); one automaton per part, and benchmarks above that size
 take further scans instead of a larger broadcast. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ from larder.llm import tokens
 #: Bytes that belong to words: digits, letters and everything from 0x80 on; A-Z are lowered.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[str, ahocorasick.Automaton] = {}
 
 HIT_FIELDS = "n_words long, n_hit long, items array<string>, hit_words array<struct<from:int,to:int>>, spans array<struct<start:int,end:int>>"
 
@@ -93,7 +94,7 @@ def scan(text: bytes, a: ahocorasick.Automaton) -> tuple[int, list[tuple[int, in
     return len(words), merge([(int(k) - v[0] + 1, int(k) + 1) for k, (_, v) in zip(last, found)]), items
 
 
-def _scanner(key: int, shared, first: bool):
+def _scanner(key: str, shared, first: bool):
     def run(batches):
         if key not in _built:
             _built.clear()
@@ -127,7 +128,7 @@ def _scanner(key: int, shared, first: bool):
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", max_bytes: int = 128 << 20, keep: list[str] | None = None) -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", max_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
     """One row per text: the ``keep`` columns (the id by default) with n_words, n_hit, items and the hit spans.
 
     A window is ``size`` consecutive item words, or the whole item when it has fewer. spans are
@@ -140,6 +141,6 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: s
     row_type = made.schema["row"].dataType.simpleString()
     for k, part in enumerate(pattern_parts(benchmark, size, max_bytes, item_col, item_text)):
         shared = spark.sparkContext.broadcast(part)
-        made = made.mapInArrow(_scanner(id(shared), shared, k == 0), f"row {row_type}, text {kinds[text_col]}, {HIT_FIELDS}")
+        made = made.mapInArrow(_scanner(uuid4().hex, shared, k == 0), f"row {row_type}, text {kinds[text_col]}, {HIT_FIELDS}")
     own = {"n_words", "n_hit", "items", "hit_words", "spans"}
     return made.select(*[F.col(f"row.`{c}`").alias(c) for c in keep if c not in own], "n_words", "n_hit", "items", "spans")

@@ -22,6 +22,7 @@ without labels of both classes every score is 0, and an empty table gives no row
 from __future__ import annotations
 
 from collections import Counter
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 12
 _TABLE = np.frombuffer(_NORMAL, dtype=np.uint8)
 _IS_WORD = np.array([_NORMAL[b] != 32 for b in range(256)])
 _LENGTHS = (3, 4, 5, 6, 8)
-_made: dict[int, tuple] = {}
+_made: dict[str, tuple] = {}
 
 
 def words(text: bytes) -> list[bytes]:
@@ -190,9 +191,9 @@ class Logistic:
 
 def _counter(shared, extra: list[str]):
     """(id, the ``extra`` columns, windows and counts at each mark) of every text."""
+    key = uuid4().hex  # workers outlive models
 
     def run(batches):
-        key = id(shared)
         if key not in _made:
             _made.clear()
             _made[key] = tuple(_compressor(c).compress for c in shared.value)
