@@ -1,7 +1,7 @@
 """N-gram Jaccard join by signature trees.
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. Every class has a bitmap of 8 to 16 bits
-per shingle, and a brief one of 1 to 2 bits for the trees. Two sets at the threshold share one of their first n - ceil(t n) + 1 shingles in any common order, so the
+per shingle, and a brief one of 2 to 4 bits for the trees. Two sets at the threshold share one of their first n - ceil(t n) + 1 shingles in any common order, so the
 classes are dealt into buckets by those, in the order of a counted rarity: a passage that many documents share comes last
 and makes no bucket. Over the members of a bucket stands a signature tree: a node holds the OR of its members' bitmaps,
 the range of their sizes, and how many shingles of a member share a bit at most. What two nodes can have in common at most
@@ -38,7 +38,7 @@ from larder.llm.tokens import U, mix
 SLOTS = 1 << 18  # counters of shingle rarity
 BLOCK, BLOCK_BYTES = 512, 1 << 22  # members and bitmap bytes of the largest node of a bucket
 FANOUT = 8
-ROOM = 64  # pairs a component may name in the first walk
+ROOM = 16  # pairs a component may name in the first walk
 _SEEDS = mix(np.array([11, 23], dtype=U))
 
 
@@ -71,9 +71,9 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def bitmap(v: np.ndarray, per: int = 8) -> bytes:
-    """``per`` to twice as many bits per shingle; the bit is the low bits of the hash, so that halves folded together are the smaller bitmap."""
-    m = 64
+def bitmap(v: np.ndarray, per: int = 8, least: int = 64) -> bytes:
+    """``per`` to twice as many bits per shingle, at least ``least``; the bit is the low bits of the hash, so that halves folded together are the smaller bitmap."""
+    m = least
     while m < per * len(v):
         m *= 2
     bits = np.zeros(m, dtype=np.uint8)
@@ -112,7 +112,7 @@ def _sign(width: int, percent: int, classes):
                 order = np.lexsort((v, kind, r))
                 wanted = (np.arange(len(v)) - np.repeat(first, count) < np.repeat(prefix_length(count, percent), count)) & (kind[order] > 0)
                 for k, a, c in zip(full, first, count):
-                    bits[i + k], brief[i + k] = bitmap(v[a: a + c]), bitmap(v[a: a + c], 1)
+                    bits[i + k], brief[i + k] = bitmap(v[a: a + c]), bitmap(v[a: a + c], 2, 1024)
                     first_few[i + k] = v[order[a: a + c][wanted[a: a + c]]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(bits, pa.binary()),
@@ -239,7 +239,7 @@ def _blocks(batches):
 
 def _pairs_of_trees(buckets: DataFrame, signed: DataFrame, joined: DataFrame, percent: int, room: int) -> DataFrame:
     """(a, b, more): what the walks over all buckets that hold several components name."""
-    of = buckets.where("members > 2").join(joined, "id", "left").join(signed.select("id", "n"), "id").select(
+    of = buckets.where("members > 2").join(joined, "id", "left").join(signed.select("id", "n").distinct(), "id").select(
         "token", "id", "n", F.coalesce("component", "id").alias("component"))
     # whose neighbour in size is already too far off has no partner in the bucket
     by_size = Window.partitionBy("token").orderBy("n", "id")
@@ -304,13 +304,16 @@ def jaccard_components(df: DataFrame, width: int = 3, percent: int = 90, id_col:
     pair = f"a {kind}, b {kind}"
     rare = spark.sparkContext.broadcast(rarity(docs, width))
     signed = written(docs.mapInArrow(_sign(width, percent, rare), f"id {kind}, n long, sa long, sb long, bits binary, brief binary, prefix array<long>"), "signed")
-    classes = written(signed.where("n > 0 AND id IS NOT NULL").groupBy("sa", "sb", "n").agg(
-        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bits", "brief", "prefix")]), "classes")
+    # of each class the smallest id goes on; the others are told by a narrow list, so that the bitmaps are neither shuffled nor written again
+    own = signed.where("n > 0 AND id IS NOT NULL")
+    least = written(own.groupBy("sa", "sb", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    copies = own.select("id", "sa", "sb", "n").join(least.where("rows > 1"), ["sa", "sb", "n"]).where("id <> rep").select("id", "sa", "sb").distinct()
+    classes = own.join(broadcast_if_small(written(copies, "copies")), ["id", "sa", "sb"], "left_anti")
     posts = classes.select("id", F.explode("prefix").alias("token"))
     shared = posts.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).where(
         "first <> last").select("token", "first", "members")
     buckets = written(posts.join(shared, "token"), "buckets")
-    sizes = classes.select("id", "n")
+    sizes = classes.select("id", "n").distinct()
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -330,7 +333,7 @@ def jaccard_components(df: DataFrame, width: int = 3, percent: int = 90, id_col:
         return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), pair)
 
     rows = signed.select("id", "n", "sa", "sb").join(
-        classes.select("sa", "sb", "n", F.col("id").alias("rep")), ["sa", "sb", "n"], "left").select("id", "n", "rep")
+        least.drop("rows"), ["sa", "sb", "n"], "left").select("id", "n", "rep")
     # an id with several texts links their classes
     several = rows.where("rep IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     same = rows.join(several.select("id", "a"), "id").select("a", F.col("rep").alias("b"))
