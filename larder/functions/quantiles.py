@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one task. Here a
 mergeable sketch first gives a narrow value range around each wanted rank; the
 rows below and above it shrink to one counted row each on the map side, and only
-the values inside the range are ranked.
+the values inside the range are ranked. The ranges of the largest groups travel
+to the rows, so no group's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 ACCURACY = 100_000
+LARGE_GROUPS = 64
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: list[str] | None = None,
@@ -28,7 +30,14 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: list[
     sketch = F.percentile_approx("_v", ends, accuracy)
     facts = F.struct(sketch.alias("ends"), F.count(F.lit(1)).alias("n"))
     if keys:
-        ranged = rows.join(rows.groupBy(*keys).agg(facts.alias("_s")), keys)
+        # any other group has less than 1 / LARGE_GROUPS of the rows
+        rows = rows.where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda known: known))
+        each = rows.groupBy(*keys).agg(facts.alias("_s"))
+        entry = F.struct(F.struct(*keys).alias("key"), F.col("_s").alias("value"))
+        large = each.orderBy(F.desc("_s.n"), *keys).limit(LARGE_GROUPS).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+        sent = rows.withColumn("_s", F.try_element_at(large, F.struct(*keys)))
+        rest = sent.where("_s IS NULL").drop("_s").join(each, keys)
+        ranged = sent.where("_s IS NOT NULL").unionByName(rest)
     else:
         # one row for the whole table: a scalar subquery, not a join without a key
         ranged = rows.withColumn("_s", rows.agg(facts.alias("s")).scalar())

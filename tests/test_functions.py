@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.functions import calendars, scan
+from larder.functions import calendars, quantiles, scan
 from larder.functions.exprs import finite, first_row_per_key, ratio
 from larder.functions.quantiles import exact_quantiles
 from larder.functions.ranks import sorted_index
@@ -50,6 +51,20 @@ def test_quantiles_match_numpy(spark, accuracy):
     assert exact_quantiles(df, "v", {"m": 0.5}).first()["m"] == pytest.approx(np.percentile([x for _, x in rows if x is not None], 50))
 
 
+def test_quantiles_deal_a_large_group_by_value(spark, monkeypatch, capsys):
+    rows = [(g, float(v)) for g, n in (("a", 90), ("b", 40), ("c", 3), (None, 5)) for v in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    monkeypatch.setattr(quantiles, "LARGE_GROUPS", 1)  # one group by its range, the others by the join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = exact_quantiles(df, "v", {"m": 0.5}, ["g"])
+        got.explain()
+        assert {r["g"]: r["m"] for r in got.collect()} == {"a": 44.5, "b": 19.5, "c": 1.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"Exchange hashpartitioning\(g#\d+, .*_side", capsys.readouterr().out)  # not by g alone
+
+
 @pytest.mark.parametrize("target", [5, 100000])
 def test_running_sum_and_min(events, target):
     s = scan.running_sum(events, ["k"], "ts", "event_id", "x", "s", target=target)
