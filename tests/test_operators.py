@@ -180,6 +180,21 @@ def test_chunks_of_big_parents_hold_what_the_sql_lists(spark, tmp_path):
     assert got == want and len(got[1]) == 2500 and got[0] is None
 
 
+def test_order_lines_are_dealt_by_row_count(spark, monkeypatch):
+    from larder.functions import exprs
+    monkeypatch.setattr(exprs, "TASK_ROWS", 10)
+    assert exprs.task_count(spark.range(995)) == 100 and exprs.task_count(spark.range(20)) is None
+    o = spark.createDataFrame([(i, 1, dt.datetime(2024, 1, 1)) for i in range(50)] + [(7, 1, dt.datetime(2024, 1, 1)), (None, 1, None)], "id long, place_id long, created_dt timestamp_ntz")
+    l = spark.createDataFrame([(i % 60, i % 3, 2.0, 1.5) for i in range(300)] + [(None, 1, 2.0, 1.0)], "order_id long, item_id long, quantity double, cost double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = demand.daily_demand(o, l, parts=40)
+        assert "order_id" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and plan.count(", 40), REPARTITION_BY_NUM") == 2
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, demand.daily_demand(o, l).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_title_match_is_containment(spark):
     words = ["bur", "cheese", "ki", "zz", "e"]
     titles = ["Cheeseburger", "Milk", "Big Burrito", "kiwi", ""]
@@ -187,6 +202,27 @@ def test_title_match_is_containment(spark):
     assert {tuple(r) for r in got.collect()} == {(w, t) for w in words for t in titles if w in t.lower()}
 
 
+def test_titles_of_one_task_are_dealt_anew(spark):
+    titles = spark.createDataFrame([("aa aab",), (None,), ("a",), ("AAB",)], "item string").coalesce(1)
+    got = coldstart.match_titles(spark.createDataFrame([("aab",), ("a",), ("a",)], "word string"), titles)
+    assert sorted(map(tuple, got.collect())) == [("a", "AAB"), ("a", "a"), ("a", "aa aab"), ("aab", "AAB"), ("aab", "aa aab")]
+    assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cold_start_estimates_a_set_of_words_once(spark):
+    stats = spark.createDataFrame([("red pan", 2.0), ("red pot", 4.0), ("tin", 8.0), ("odd", None)], "item string, avg_daily double")
+    cats = spark.createDataFrame([("c", "tin"), ("c", "tin"), ("c", "none"), (None, "tin")], "category string, item string")
+    new = [(i, ["red", "xx"], "c") for i in range(40)] + [(50, ["zzz"], "c"), (51, None, "c"), (52, ["zzz"], None), (None, ["red"], "c"), (53, ["red"], None), (53, ["tin"], None), (54, ["odd"], None)]
+    df = spark.createDataFrame(new, "id long, words array<string>, category string")
+    out = coldstart.cold_start(df, stats, cats, F.lit(D0), days=1, factor=1.0)
+    got = {r["id"]: (r["method"], r["similar_items"], r["estimated_daily_demand"]) for r in out.collect()}
+    every = round(14 / 3, 4)
+    assert got[7] == ("keyword_match", 2, round(20 / 6, 4)) and got[50] == got[51] == ("category_match", 1, 8.0) and got[52] == got[None] == ("global_median", 1, every)
+    assert got[53] == ("keyword_match", 3, 6.0) and got[54] == ("keyword_match", 1, every) and out.count() == len(new)
+    few = coldstart._set_estimates(df.select("words"), "words", spark.createDataFrame([("red", "red pan", 2.0)], "word string, item string, avg_daily double"), "word", 1, 20)
+    assert {tuple(r["words"]): tuple(r["_t1"]) for r in few.collect()}[("red",)] == (1, 2.0, 1)
+
+
 def test_coupons(spark):
     now = dt.date(2024, 5, 1)
     c = spark.createDataFrame([("Ten", True, D0, dt.date(2030, 1, 1), 5, 5, None, [], None), ("OLD", True, D0, D0, None, 0, None, [], None), ("P", True, D0, dt.date(2030, 1, 1), None, 0, 50.0, ["a"], None)],
