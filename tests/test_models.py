@@ -220,3 +220,19 @@ def test_coordinate_descent_meets_the_optimum():
     assert np.allclose(grad[l1 == 0], 0, atol=1e-4)
     for g, v, p in zip(grad[l1 > 0], b[l1 > 0], l1[l1 > 0]):
         assert abs(g) <= p + 1e-4 if v == 0 else g == pytest.approx(-p * np.sign(v), abs=1e-4)
+
+
+def test_tuning_fits_settings_of_different_length_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(D0 + dt.timedelta(days=d), p, 1, float(x), float(3 * x + p + rng.normal(0, 0.1))) for p in range(3) for d, x in enumerate(rng.integers(0, 9, 90))]
+    df = spark.createDataFrame(rows, "date date, place_id long, item_id long, day_of_week double, quantity_sold double").repartition(2)
+    grid = [{"maxIter": n, "maxDepth": d, "stepSize": 0.4} for n in (4, 3) for d in (1, 2)]  # rounds of two trees: three end inside a round
+    asked, fit_all = [], ml.fit_all
+    monkeypatch.setattr(ml, "fit_all", lambda f, fits, *a, **k: asked.append(len(fits)) or fit_all(f, fits, *a, **k))
+    got = {(r["maxIter"], r["maxDepth"]): (r["no"], r["mae"]) for r in ml.tune(df, grid).collect()}
+    assert asked == [2] and {k: v[0] for k, v in got.items()} == {(p["maxIter"], p["maxDepth"]): i for i, p in enumerate(grid)}
+    train, val, _ = ml.parts(df)
+    for p in grid:
+        alone = ml._scores(ml.predict(ml.fit_gbt(train, **p), val), "gbt").first()["mae"]
+        assert got[p["maxIter"], p["maxDepth"]][1] == pytest.approx(alone, abs=1e-6)
+    assert len({round(m, 6) for _, m in got.values()}) == 4
