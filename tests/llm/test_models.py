@@ -221,6 +221,26 @@ def test_copied_articles_and_short_blocks_are_kept(spark, group_pages):
     assert got == {i: f"Summary {story} So it ends." for i in (1, 2, 3)} | {i: f"Summary {own(i)}" for i in (4, 5)}
 
 
+@pytest.mark.parametrize("group_pages", [1, 3, 2000])
+def test_suffix_arrays_decide_inside_landmarks(spark, group_pages):
+    notice = "subscribers of this site get two free mugs with every order placed before Friday"
+    quote = "a line of ten words or more that three pages quote in full"
+    copy = "one story in many words that nearly all pages of this second host carry with one word of theirs at the end"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    page = lambda i: f"<nav>menu</nav><article><p>{own(i)}</p><div>{notice}</div><p>Read on</p><p>{quote if i < 3 else ''} end{i}</p></article>"
+    rows = [(i, "https://a.example/", page(i)) for i in range(7)] + [(6, "https://a.example/", page(6)), (None, "https://a.example/", page(50))]
+    rows += [(7, "https://a.example/", f"<main>{own(7)}</main>"), (8, "https://a.example/", f"<main>{own(7)}</main>")]
+    rows += [(20 + i, "https://b.example/", f"<article>{copy} c{i}</article>") for i in range(6)]
+    rows += [(30 + i, "https://c.example/", f"<article><p>{own(i)}</p><p>{notice}</p></article>") for i in range(3)]  # too few to tell
+    rows += [(40 + i, "https://d.example/", f"<article><p>{own(40 + i % 2)}</p><p>{notice}</p></article>") for i in range(8)]  # two articles, copied
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["text"]) for r in htmltext.main_text(df, group_pages=group_pages).collect())
+    text = lambda i: " ".join(f"{own(i)} {quote if i < 3 else ''} end{i}".split())
+    want = [(i, text(i)) for i in range(7)] + [(6, text(6)), (None, text(50)), (7, own(7)), (8, own(7))]
+    want += [(20 + i, f"{copy} c{i}") for i in range(6)] + [(30 + i, f"{own(i)} {notice}") for i in range(3)] + [(40 + i, f"{own(40 + i % 2)} {notice}") for i in range(8)]
+    assert got == sorted((str(i), t) for i, t in want)
+
+
 def test_a_very_long_text_does_not_end_the_sample(spark):
     from larder.llm.common import labelled_sample
     rows = [(i, ("word " * (2000 if i < 6 else 3)), i % 2) for i in range(60)]
