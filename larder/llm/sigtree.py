@@ -10,7 +10,9 @@ their smallest sizes, dual traversal leaves the pair of nodes, else it goes on t
 the same component are left as well.
 
 A bucket's first member is tested against the others before, so that a group of near copies is one component when its tree is
-walked, and buckets of two are done. Members without another one of their bucket near enough in size do not enter its tree. A walk names for each component its most promising pairs, full sets confirm them, and as long as a walk had to hold
+walked, and buckets of two are done. Members without another one of their bucket near enough in size do not enter its tree; in buckets of
+at most ``FEW`` members pairs are counted first, without bitmaps: a link shares many of the first shingles of large sets, so a pair
+that meets too rarely is left out, and any other stands in one tree instead of one for each shingle it shares. A walk names for each component its most promising pairs, full sets confirm them, and as long as a walk had to hold
 pairs back it is repeated over what is still apart, with 16 times the room: no link is lost, and a group is never turned into
 all its pairs. A large bucket is cut into nodes of ``BLOCK`` members first, which are met pair by pair in tasks of their own.
 
@@ -38,6 +40,7 @@ from larder.llm.tokens import U, mix
 SLOTS = 1 << 18  # counters of shingle rarity
 BLOCK, BLOCK_BYTES = 512, 1 << 22  # members and bitmap bytes of the largest node of a bucket
 FANOUT = 8
+FEW = 64  # members of a bucket whose pairs are counted before bitmaps travel
 ROOM = 16  # pairs a component may name in the first walk
 _SEEDS = mix(np.array([11, 23], dtype=U))
 
@@ -237,19 +240,44 @@ def _blocks(batches):
         yield pa.RecordBatch.from_pylist(rows, out)
 
 
-def _pairs_of_trees(buckets: DataFrame, signed: DataFrame, joined: DataFrame, percent: int, room: int) -> DataFrame:
+def _meetings(buckets: DataFrame, sizes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, token): pairs of different components that meet in as many buckets of at most FEW members as a link asks for, and one of these.
+
+    Of a link's common shingles at most n - prefix are outside the prefix that ends first, so all others are buckets of both. A link
+    with one of them in a larger bucket is left to that bucket.
+    """
+    few = buckets.where(F.col("members") <= FEW).join(joined, "id", "left").join(sizes, "id").select(
+        "token", F.struct("id", "n", F.coalesce("component", "id").alias("component")).alias("m"))
+    groups = few.groupBy("token").agg(F.collect_list("m").alias("ms"), F.min("m.component").alias("x"), F.max("m.component").alias("y")).where("x <> y")
+    two = groups.select("token", "ms", F.explode("ms").alias("p")).select("token", "p", F.explode("ms").alias("q")).where(
+        "p.id < q.id AND p.component <> q.component").where(f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)")
+    met = two.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).agg(
+        F.count(F.lit(1)).alias("met"), F.min("token").alias("token"))
+    outside = [f"({percent} * {n} + 99) div 100 - 1" for n in ("na", "nb")]
+    asked = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+    return met.where(f"met >= {asked} - greatest({outside[0]}, {outside[1]})").drop("met")
+
+
+def _pairs_of_trees(buckets: DataFrame, meetings: DataFrame, signed: DataFrame, joined: DataFrame, percent: int, room: int) -> DataFrame:
     """(a, b, more): what the walks over all buckets that hold several components name."""
-    of = buckets.where("members > 2").join(joined, "id", "left").join(signed.select("id", "n").distinct(), "id").select(
+    to = joined.select("id", "component")
+    open_ = meetings.join(to.toDF("a", "ca"), "a", "left").join(to.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    met = open_.select("token", F.col("a").alias("id"), F.col("na").alias("n"), "ca").unionByName(
+        open_.select("token", F.col("b").alias("id"), F.col("nb").alias("n"), F.col("cb").alias("ca"))).distinct().select(
+        "token", "id", "n", F.coalesce("ca", "id").alias("component"))
+    of = buckets.where(F.col("members") > FEW).join(joined, "id", "left").join(signed.select("id", "n").distinct(), "id").select(
         "token", "id", "n", F.coalesce("component", "id").alias("component"))
     # whose neighbour in size is already too far off has no partner in the bucket
     by_size = Window.partitionBy("token").orderBy("n", "id")
     of = of.withColumns({"lower": F.lag("n").over(by_size), "upper": F.lead("n").over(by_size)}).where(
-        (100 * F.col("lower") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("upper"))).drop("lower", "upper")
+        (100 * F.col("lower") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("upper"))).drop("lower", "upper").unionByName(met)
     apart = of.groupBy("token").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"),
         F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("q")).where("x <> y")
     apart = apart.groupBy("members", "p", "q").agg(F.min("token").alias("token")).select("token")  # one of the buckets with the same members
-    rows = of.join(apart, "token").join(signed.select("id", F.col("brief").alias("bits")), "id").select("token", "id", "n", "component", "bits")
+    placed = written(of.join(apart, "token"), "placed")
+    own = signed.select("id", F.col("brief").alias("bits")).join(broadcast_if_small(placed.select("id").distinct()), "id", "left_semi")
+    rows = placed.join(own, "id").select("token", "id", "n", "component", "bits")
     order = ["token", "component", "n", "id"]
     kind = rows.schema["id"].dataType.simpleString()
     member = f"struct<id: {kind}, n: bigint, component: {kind}, bits: binary>"
@@ -340,8 +368,10 @@ def jaccard_components(df: DataFrame, width: int = 3, percent: int = 90, id_col:
 
     entry = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     joined, tested, room = written(components(test(entry).unionByName(same)), "joined"), entry, ROOM
+    meetings = written(_meetings(buckets, sizes, joined, percent), "meetings")
     while True:
-        named = written(_pairs_of_trees(buckets, classes, joined, percent, room), "named")
+        untested = meetings.join(tested, ["a", "b"], "left_anti")
+        named = written(_pairs_of_trees(buckets, untested, classes, joined, percent, room), "named")
         fresh = written(named.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
         links = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(test(fresh))
         joined = written(components(links), "joined")

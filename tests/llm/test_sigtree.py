@@ -45,6 +45,31 @@ def test_components_match_all_pairs(spark, monkeypatch, block, room):
     assert 1 < len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize("few", [1, 64])
+def test_pairs_are_counted_before_they_meet_in_trees(spark, monkeypatch, few):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(4000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    quotes = [text(40) for _ in range(90)]
+    # unlike texts, every passage in four of them
+    rows = [(100 + i, " ".join(quotes[3 * ((i + 7 * r) % 30) + k] for r in range(4) for k in range(3))) for i in range(30)]
+    rows += family(rng, 300, 7, 16, 1000, vocab) + family(rng, 40, 9, 2, 2000, vocab) + family(rng, 8, 5, 1, 3000, vocab)
+    base = text(200).split()
+    rows += [(4000 + i, " ".join(base[: 200 - 3 * i])) for i in range(10)]  # sets inside one another
+    held, before = [], sigtree.written
+
+    def keep(df, name, *a):
+        out = before(df, name, *a)
+        if name == "placed":
+            held.append({r["id"] for r in out.select("id").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(sigtree, "FEW", few)
+    monkeypatch.setattr(sigtree, "written", keep)
+    assert {i: c for i, _, c in links(spark, rows)} == brute.near_duplicates(dict(rows), 3, 90)
+    assert any(100 <= i < 130 for i in held[0]) == (few == 1)  # they meet too rarely for a link and enter no tree
+
+
 def test_odd_rows(spark):
     assert links(spark, []) == []
     rows = [(1, None), (2, ""), (3, " \t"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (4, "e f g h"), (3, "e f g h"), (6, "x y " * 60000), (7, "x y " * 60000 + "x"), (8, "A  B\nC d")]
