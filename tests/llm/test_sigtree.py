@@ -51,8 +51,8 @@ def test_pairs_are_counted_before_they_meet_in_trees(spark, monkeypatch, few):
     vocab = [f"w{i}" for i in range(4000)]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     quotes = [text(40) for _ in range(90)]
-    # unlike texts, every passage in four of them
-    rows = [(100 + i, " ".join(quotes[3 * ((i + 7 * r) % 30) + k] for r in range(4) for k in range(3))) for i in range(30)]
+    # unlike texts, every passage in four of them, two share at most three of twelve
+    rows = [(100 + i, " ".join(quotes[3 * ((i + r) % 30) + k] for r in (0, 1, 4, 13) for k in range(3))) for i in range(30)]
     rows += family(rng, 300, 7, 16, 1000, vocab) + family(rng, 40, 9, 2, 2000, vocab) + family(rng, 8, 5, 1, 3000, vocab)
     base = text(200).split()
     rows += [(4000 + i, " ".join(base[: 200 - 3 * i])) for i in range(10)]  # sets inside one another
