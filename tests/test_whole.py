@@ -3,9 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from larder.operators import ml
+from larder.plans.sqlbase import Q as sql
 from scripts.check import rows
 
 ITEMS, DAYS, PLACES = 60, 61, 2
@@ -47,3 +50,33 @@ def same_as_sql(spark, wide, key):
 
 def test_cost_presets_count_every_item(spark, wide):
     assert len(same_as_sql(spark, wide, "cost_presets")) == 4
+
+
+# ---- models: without any split the trees say the mean of the training rows, which plain sums give ----------
+
+@pytest.fixture
+def no_splits(monkeypatch):
+    monkeypatch.setitem(ml.DEFAULTS, "minInstancesPerNode", 10**9)
+    monkeypatch.setitem(ml.DEFAULTS, "maxIter", 1)
+
+
+@pytest.fixture(scope="module")
+def cube(wide):
+    """Quantity by day and series, all of them."""
+    got = wide[1].execute(sql("grid", "SELECT quantity_sold FROM grid ORDER BY date, place_id, item_id")).fetchnumpy()["quantity_sold"]
+    return np.asarray(got, dtype=float).reshape(DAYS, PLACES * ITEMS)
+
+
+def mean_error(cube, train, test):
+    return np.abs(cube[test] - cube[1:][train[1:]].mean()).mean()  # the first day has no lag, so no training row
+
+
+DAY = np.arange(DAYS)
+
+
+def test_cv_metrics_fold_every_item(spark, wide, cube, no_splits):
+    got = {r["fold"]: r for r in entry.queries()["cv_metrics"](spark, wide[0]).collect()}
+    fold = DAY * 6 // DAYS
+    for k in range(1, 6):
+        assert got[k]["n"] == (fold == k).sum() * PLACES * ITEMS and got[k]["mae"] == pytest.approx(mean_error(cube, fold < k, fold == k))
+    assert got[0]["n"] == (fold > 0).sum() * PLACES * ITEMS
