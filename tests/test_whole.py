@@ -80,3 +80,14 @@ def test_cv_metrics_fold_every_item(spark, wide, cube, no_splits):
     for k in range(1, 6):
         assert got[k]["n"] == (fold == k).sum() * PLACES * ITEMS and got[k]["mae"] == pytest.approx(mean_error(cube, fold < k, fold == k))
     assert got[0]["n"] == (fold > 0).sum() * PLACES * ITEMS
+
+
+def test_fc_quantile_forecasts_every_item(spark, wide, cube, no_splits):
+    got = entry.queries()["fc_quantile"](spark, wide[0]).collect()
+    share = DAY / DAYS
+    assert len(got) == (share >= 0.7).sum() * PLACES * ITEMS and {r["item_id"] for r in got} == {f"TYPE {k}" for k in range(ITEMS)}
+    train = cube[1:][share[1:] < 0.7]
+    assert got[0]["gbt"] == pytest.approx(train.mean())
+    for q in (0.5, 0.75, 0.9):
+        said = {r[f"q{int(q * 100)}"] for r in got}
+        assert len(said) == 1 and said.pop() == pytest.approx(np.quantile(train, q, method="inverted_cdf"), abs=1.5)  # bins 2 % wide, one step
