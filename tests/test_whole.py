@@ -91,3 +91,13 @@ def test_fc_quantile_forecasts_every_item(spark, wide, cube, no_splits):
     for q in (0.5, 0.75, 0.9):
         said = {r[f"q{int(q * 100)}"] for r in got}
         assert len(said) == 1 and said.pop() == pytest.approx(np.quantile(train, q, method="inverted_cdf"), abs=1.5)  # bins 2 % wide, one step
+
+
+def test_model_comparison_scores_every_item(spark, wide, cube, no_splits):
+    got = {r["model"]: r for r in entry.queries()["model_comparison"](spark, wide[0]).collect()}
+    share = DAY / DAYS
+    test = share >= 0.85
+    assert got["gbt"]["mae"] == pytest.approx(mean_error(cube, share < 0.7, test))
+    naive = cube[DAY[test] - 7]
+    assert got["naive_last_week"]["mae"] == pytest.approx(np.abs(cube[test] - naive).mean())
+    assert got["naive_last_week"]["overstock_units"] == np.maximum(naive - cube[test], 0).sum()
