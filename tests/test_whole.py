@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from larder.operators import ml
+from larder.plans import p_models
 from larder.plans.sqlbase import Q as sql
 from scripts.check import rows
 
@@ -101,3 +102,11 @@ def test_model_comparison_scores_every_item(spark, wide, cube, no_splits):
     naive = cube[DAY[test] - 7]
     assert got["naive_last_week"]["mae"] == pytest.approx(np.abs(cube[test] - naive).mean())
     assert got["naive_last_week"]["overstock_units"] == np.maximum(naive - cube[test], 0).sum()
+
+
+def test_tune_gbt_validates_on_every_item(spark, wide, cube, no_splits, monkeypatch):
+    monkeypatch.setattr(p_models, "TUNING", {"maxIter": (1,), "maxDepth": (1, 2), "stepSize": (1.0,)})
+    got = entry.queries()["tune_gbt"](spark, wide[0]).collect()
+    share = DAY / DAYS
+    want = mean_error(cube, share < 0.7, (share >= 0.7) & (share < 0.85))
+    assert [r["mae"] for r in got] == [pytest.approx(want)] * 2
