@@ -53,6 +53,10 @@ def test_cost_presets_count_every_item(spark, wide):
     assert len(same_as_sql(spark, wide, "cost_presets")) == 4
 
 
+def test_waste_risk_has_every_item(spark, wide):
+    assert len(same_as_sql(spark, wide, "waste_risk")) == PLACES * ITEMS
+
+
 # ---- models: without any split the trees say the mean of the training rows, which plain sums give ----------
 
 @pytest.fixture
